@@ -61,6 +61,10 @@ LOWER[65:91] += 32  # A-Z only
 _BYTE_LOWER = _BYTE[LOWER]
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes that are neither ASCII letters or digits nor part of a longer character.
+MARKS = np.ones(256, dtype=bool)
+MARKS[0x80:] = False
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 2**64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -111,16 +115,17 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK):
         a = b
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True):
-    """(hash, row, start, end) of each white-space separated word of the rows in `raw`.
+def words(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE):
+    """(hash, row, start, end) of each word of the rows in `raw`, words being runs of bytes
+    that aren't in `gap` (by default white space, 0x20 and 0x09-0x0D).
 
-    White space is 0x20 and 0x09-0x0D; A-Z are lowered for the hash. A word's hash depends on
+    A-Z are lowered for the hash. A word's hash depends on
     its bytes alone, so the same word hashes alike in every row, batch and task."""
     n = len(raw)
     if not n:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, z
-    solid = ~SPACE[raw]
+    solid = ~gap[raw]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)
@@ -135,7 +140,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True):
     power, inverse = _power(n + 1)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[raw] * power[:n], out=total[1:])
+    np.cumsum(_BYTE_LOWER[raw] * power[:n], out=total[1:])
     h = (total[end] - total[start]) * inverse[start]
     return mix64(h + (end - start).astype(np.uint64)), row, start, end
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_main, mixing, sharding, simhash, token_files, url_filter
+from . import html_main, jaccard_join, mixing, sharding, simhash, token_files, url_filter
 from .common import materialise
 
 N_SHARDS = 24
@@ -56,9 +56,13 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.join(found, F.col("doc_id") == F.col("asked_id"), "left").drop("asked_id")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op5_html_extraction, op6_token_files, op7_url_filter, op8_fingerprints, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op5_html_extraction, op6_token_files, op7_url_filter, op8_fingerprints, op9_jaccard_join, op10_mixing)}

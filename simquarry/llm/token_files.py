@@ -29,38 +29,92 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch_path, text_or_empty
+from .common import _power, chunks, mix64, partitions, scratch_path, text_or_empty
 
 MAGIC = b"SQTOK\x00\x00\x01"
-#: Distinct pre-tokens whose ids a worker keeps; the table is emptied when it is full.
-CACHE = 400_000
-
-# Pre-token pattern of byte-level BPE, with its classes spelled out for U+0000-U+024F, where
-# letters, numbers and white space are the same in every Unicode version.
-_L = r"A-Za-zªµºÀ-ÖØ-öø-ɏ"
-_N = r"0-9²³¹¼-¾"
-_S = r"\t-\r \u0085\u00a0"
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_BEYOND = re.compile(r"[^\u0000-ɏ]")
+#: Distinct pre-tokens whose ids a worker keeps (about 30 bytes each); the table is emptied when
+#: it is full.
+CACHE = 2_000_000
+#: Characters that are encoded at a time.
+CHARS = 1 << 18
+
+# Classes of U+0000-U+024F, where letters, numbers and white space are the same in every
+# Unicode version: 0 other, 1 letter, 2 number, 3 white space.
+LIMIT = 0x250
+_BEYOND = re.compile(r"[^\u0000-\u024f]")
+_CLASS = np.zeros(LIMIT, np.uint8)
+for _low, _high, _kind in ((0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xAA, 0xAA, 1), (0xB5, 0xB5, 1), (0xBA, 0xBA, 1), (0xC0, 0xD6, 1), (0xD8, 0xF6, 1), (0xF8, 0x24F, 1), (0x30, 0x39, 2), (0xB2, 0xB3, 2), (0xB9, 0xB9, 2), (0xBC, 0xBE, 2), (0x09, 0x0D, 3), (0x20, 0x20, 3), (0x85, 0x85, 3), (0xA0, 0xA0, 3)):
+    _CLASS[_low : _high + 1] = _kind
+_VALUE = mix64(np.arange(1, LIMIT + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each byte: itself where it is printable, else
+    the next one from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
 def location(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def piece_starts(cp: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of byte-level BPE start in `cp`, code points below LIMIT of texts one
+    after the other; `begins` are the places where a text begins.
+
+    The pattern is 's|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?[^sLN]+|s+(?!S)|s+ with s white space,
+    L letters, N numbers: a run of one class is a piece, with the one space before it; of more
+    white space before it, the last character stands apart."""
+    n = len(cp)
+    kind = _CLASS[cp]
+    head = np.zeros(n + 1, bool)
+    head[begins] = True
+    head[n] = True
+    fresh = head[:n].copy()  # the first character of a text
+    before = np.empty(n, np.uint8)
+    before[0], before[1:] = 9, kind[:-1]
+    before[fresh] = 9
+    after = np.empty(n, np.uint8)
+    after[-1], after[:-1] = 9, kind[1:]
+    after[head[1:]] = 9
+    blank = kind == 3
+    spaced = np.zeros(n, bool)  # the character before is U+0020
+    spaced[1:] = cp[:-1] == 0x20
+    spaced[fresh] = False
+    start = np.where(blank, (before != 3) | ((after != 3) & (after != 9)), (kind != before) & ~spaced)
+    # Contractions: a run of other characters that begins with an apostrophe.
+    quote = np.flatnonzero((cp == 0x27) & start & (after == 1))
+    for i in quote.tolist():
+        tail = cp[i + 1 : i + 3].tolist()
+        if tail[0] in (0x73, 0x74, 0x6D, 0x64):
+            size = 2
+        elif len(tail) == 2 and not head[i + 2] and tuple(tail) in ((0x72, 0x65), (0x76, 0x65), (0x6C, 0x6C)):
+            size = 3
+        else:
+            continue
+        start[i + 1 : i + size] = False
+        if i + size < n:
+            start[i + size] = True if not head[i + size] and kind[i + size] == 1 else start[i + size]
+    return np.flatnonzero(start)
+
+
 class Encoder:
     """Encodes texts exactly as `Tokenizer.encode(text, add_special_tokens=False)` does.
 
     Byte-level BPE never merges across pre-tokens, so the ids of a text are those of its
-    pre-tokens; each distinct one goes through the library once. Texts with characters beyond
-    U+024F or with an added token go through the library whole, as do all texts of a tokenizer
-    that isn't plain byte-level BPE."""
+    pre-tokens. These are cut and hashed with array operations; each distinct one goes through
+    the library's model once and is kept. Texts with characters beyond U+024F or with an added
+    token go through the library whole, as do all texts of a tokenizer that isn't plain
+    byte-level BPE."""
 
     def __init__(self, path: str, dtype: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), dtype, {}
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [t["content"] for t in spec.get("added_tokens") or ()]
@@ -70,52 +124,108 @@ class Encoder:
             and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
             and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens") or ())
         )
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        if not self.plain or _BEYOND.search(text) or any(t in text for t in self.added):
-            return self._ids([text])[0]
-        pieces = _PIECE.findall(text)
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            fresh = list({p for p in pieces if p not in known})
-            if len(known) + len(fresh) > CACHE:
-                known.clear()
-                fresh = list(set(pieces))
-            known.update(zip(fresh, self._ids(fresh), strict=True))
-            return b"".join(map(known.__getitem__, pieces))
+        self._empty()
+
+    def _empty(self):
+        self.key, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.at, self.flat = np.zeros(1, np.int64), np.zeros(0, self.dtype)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _learn(self, key: np.ndarray, pieces: list[str]) -> None:
+        letters = self.letters.__getitem__
+        ids = [[t.id for t in self.model.tokenize("".join(map(letters, p.encode())))] for p in pieces]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter((i for x in ids for i in x), self.dtype, int(size.sum()))
+        rows = np.arange(len(self.at) - 1, len(self.at) - 1 + len(ids))
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(size)))
+        self.flat = np.concatenate((self.flat, flat))
+        place = np.searchsorted(self.key, key)
+        self.key, self.row = np.insert(self.key, place, key), np.insert(self.row, place, rows)
+
+    def _many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of texts of known characters."""
+        joined = "".join(texts)
+        if not joined:
+            return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
+        cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        edge = np.cumsum([0, *map(len, texts)])
+        start = piece_starts(cp, edge[:-1][np.diff(edge) > 0])
+        end = np.append(start[1:], len(cp))
+        power, inverse = _power(len(cp) + 1)
+        total = np.concatenate(([np.uint64(0)], np.cumsum(_VALUE[cp] * power[: len(cp)])))
+        h = mix64((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+        key, first, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.key) > CACHE:
+            self._empty()
+        place = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+        new = self.key[place] != key if len(self.key) else np.ones(len(key), bool)
+        if new.any():
+            at = first[new]
+            self._learn(key[new], [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            place = np.searchsorted(self.key, key)
+        row = self.row[place][back]
+        size = self.at[row + 1] - self.at[row]
+        to = np.cumsum(size)
+        ids = self.flat[np.repeat(self.at[row] - (to - size), size) + np.arange(to[-1])]
+        reach = np.concatenate(([0], to))[np.searchsorted(start, edge)]
+        return ids, np.diff(reach)
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and each text's count."""
+        joined = "".join(texts)
+        if self.plain and not _BEYOND.search(joined) and not any(x in joined for x in self.added):
+            return self._many(texts)
+        known = [self.plain and not _BEYOND.search(t) and not any(x in t for x in self.added) for t in texts]
+        ids, counts = self._many([t for k, t in zip(known, texts, strict=True) if k])
+        cuts, parts, sizes = iter(np.split(ids, np.cumsum(counts)[:-1])), [], []
+        for k, t in zip(known, texts, strict=True):
+            parts.append(next(cuts) if k else self._whole(t))
+            sizes.append(len(parts[-1]))
+        return np.concatenate(parts), np.asarray(sizes, np.int64)
+
+
+_encoders: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(path: str, dtype: str) -> Encoder:
+    """One encoder for each worker process, whose table later tasks find filled."""
+    if (path, dtype) not in _encoders:
+        _encoders.clear()
+        _encoders[path, dtype] = Encoder(path, dtype)
+    return _encoders[path, dtype]
 
 
 def _writer(folder: str, tokenizer: str, end_id: int, dtype: str):
     def write(batches):
         part = TaskContext.get().partitionId()
         fs, root = location(folder)
-        encode, end = Encoder(tokenizer, dtype), np.asarray([end_id], dtype).tobytes()
-        width, ids, offsets = np.dtype(dtype).itemsize, [], [0]
+        encode = encoder(tokenizer, dtype)
         name, mark = f"{root}/part-{part:05d}", f".{uuid.uuid4().hex}.tmp"
-        out = None
+        out, ids, null, counts = None, [], [], []
         for batch in batches:
-            texts = batch.column(1)
-            for i, doc in enumerate(batch.column(0).to_pylist()):
-                if out is None:
-                    out = fs.open_output_stream(f"{name}.bin{mark}")
-                data = encode(texts[i].as_py()) + end
-                out.write(data)
-                ids.append(doc)
-                offsets.append(offsets[-1] + len(data) // width)
+            if not len(batch):
+                continue
+            texts, keys = batch.column(1).to_pylist(), batch.column(0)
+            ids.append(np.asarray(keys.fill_null(0), "<i8"))
+            null.append(np.asarray(keys.is_null(), np.uint8))
+            if out is None:
+                out = fs.open_output_stream(f"{name}.bin{mark}")
+            for a, b in chunks(np.cumsum([0, *map(len, texts)]), CHARS):
+                data, count = encode(texts[a:b])
+                out.write(np.insert(data, np.cumsum(count), end_id).tobytes())
+                counts.append(count + 1)
         if out is None:
             return
         out.close()
+        ids, null, counts = np.concatenate(ids), np.concatenate(null), np.concatenate(counts)
         with fs.open_output_stream(f"{name}.idx{mark}") as f:
-            f.write(MAGIC + np.asarray([len(ids), width, *offsets], "<i8").tobytes())
-            f.write(np.asarray([d or 0 for d in ids], "<i8").tobytes() + bytes(d is None for d in ids))
+            f.write(MAGIC + np.asarray([len(ids), np.dtype(dtype).itemsize, 0], "<i8").tobytes())
+            f.write(np.cumsum(counts).astype("<i8").tobytes() + ids.tobytes() + null.tobytes())
         for kind in ("bin", "idx"):
             fs.move(f"{name}.{kind}{mark}", f"{name}.{kind}")
-        yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [len(ids)], "n_tokens": [offsets[-1]]})
+        yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [len(ids)], "n_tokens": [int(counts.sum())]})
 
     return write
 
