@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_main, jaccard_join, mixing, sharding, simhash, token_files, url_filter
+from . import decontaminate, html_main, jaccard_join, mixing, quality, sharding, simhash, token_files, url_filter
 from .common import materialise
 
 N_SHARDS = 24
@@ -29,6 +29,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaks: a row for each document and test item that it holds."""
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract_main(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -65,4 +74,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op5_html_extraction, op6_token_files, op7_url_filter, op8_fingerprints, op9_jaccard_join, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op3_quality, op4_decontamination, op5_html_extraction, op6_token_files, op7_url_filter, op8_fingerprints, op9_jaccard_join, op10_mixing)}
