@@ -26,6 +26,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ def grams(w: list[str], n: int = 3) -> set[tuple[str, ...]]:
 
 
 def _hash_words(texts: list[str]) -> list[np.ndarray]:
-    raw, offsets = text_buffer(pa.array(texts, pa.large_string()))
+    raw, offsets = text_buffer(pc.utf8_lower(pa.array(texts, pa.large_string())))
     h, row, _, _ = words(raw, offsets, MARKS)
     return np.split(h, np.cumsum(np.bincount(row, minlength=len(texts)))[:-1]) if texts else []
 
@@ -230,7 +231,7 @@ def _search(index):
     def run(batches):
         ix = index.value
         for batch in batches:
-            raw, offsets = text_buffer(batch.column(1))
+            raw, offsets = text_buffer(pc.utf8_lower(batch.column(1)))
             best: dict[tuple[int, int], tuple] = {}
             for a, b in chunks(offsets):
                 part = raw[offsets[a] : offsets[b]]

@@ -73,5 +73,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_quality, op4_decontamination, op5_html_extraction, op6_token_files, op7_url_filter, op8_fingerprints, op9_jaccard_join, op10_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op3_quality, op4_decontamination, op5_html_extraction, op6_token_files, op7_url_filter, op8_fingerprints, op9_jaccard_join, op10_mixing, pipeline)}
