@@ -1,0 +1 @@
+"""Behavioural-similarity analytics on Spark DataFrames."""
