@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_main, jaccard_join, mixing, quality, sharding, simhash, token_files, url_filter
+from . import chat_tools, decontaminate, html_main, jaccard_join, mixing, quality, sharding, simhash, token_files, url_filter
 from .common import materialise
 
 N_SHARDS = 24
@@ -29,6 +29,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = chat_tools.link_calls(*chat_tools.parse_messages(_table(spark, sf_dir, "conversations")))
+    return linked.withColumn("problems", F.array_join("problems", "; "))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -80,4 +85,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_quality, op4_decontamination, op5_html_extraction, op6_token_files, op7_url_filter, op8_fingerprints, op9_jaccard_join, op10_mixing, pipeline)}
+    return {f.__name__: f for f in (op1_sharding, op2_tool_calls, op3_quality, op4_decontamination, op5_html_extraction, op6_token_files, op7_url_filter, op8_fingerprints, op9_jaccard_join, op10_mixing, pipeline)}
