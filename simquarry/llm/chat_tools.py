@@ -15,7 +15,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch, materialise
 
 #: Turns of a block whose calls are numbered together.
 TURNS = 256
@@ -85,7 +85,7 @@ def problems(schemas: Schema) -> Column:
     return F.array_sort(F.when(broken, F.array(F.lit("arguments are not a JSON object"))).otherwise(out))
 
 
-def _depths(calls: DataFrame, edges: DataFrame) -> DataFrame:
+def _depths(calls: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv_id, call_id, depth): the longest chain of references below a call; calls on or
     after a cycle have a null depth. `edges`: conv_id, call_id, parent, both known calls."""
     many = edges.groupBy("conv_id", "call_id").count().where("count > 1").limit(1)
@@ -93,28 +93,28 @@ def _depths(calls: DataFrame, edges: DataFrame) -> DataFrame:
     if many.isEmpty():
         # One reference at most: path doubling, a round for each doubling of the longest chain.
         state = nodes.alias("n").join(edges.alias("e"), _same("n", "e") & (F.col("n.call_id") == F.col("e.call_id")), "left")
-        state = materialise(state.select("n.conv_id", "n.call_id", F.col("e.parent").alias("up"), F.when(F.col("e.parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "chat-depth")
+        state = scratch.table(state.select("n.conv_id", "n.call_id", F.col("e.parent").alias("up"), F.when(F.col("e.parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "chat-depth")
         total = state.count()
         for _ in range(max(1, total).bit_length() + 1):
             if state.where("up is not null").isEmpty():
                 break
             s, p = state.alias("s"), state.select("conv_id", F.col("call_id").alias("up_id"), F.col("up").alias("next"), F.col("depth").alias("more")).alias("p")
             state = s.join(p, _same("s", "p") & (F.col("s.up") == F.col("p.up_id")), "left")
-            state = materialise(state.select("s.conv_id", "s.call_id", F.col("p.next").alias("up"), (F.col("s.depth") + F.coalesce("p.more", F.lit(0))).alias("depth")), "chat-depth")
+            state = scratch.table(state.select("s.conv_id", "s.call_id", F.col("p.next").alias("up"), (F.col("s.depth") + F.coalesce("p.more", F.lit(0))).alias("depth")), "chat-depth")
         return state.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
     # Several references: rounds take the calls whose references all have a depth.
-    open_, done, level = materialise(edges, "chat-edges"), None, 0
-    left = materialise(nodes, "chat-nodes")
+    open_, done, level = scratch.table(edges, "chat-edges"), None, 0
+    left = scratch.table(nodes, "chat-nodes")
     while True:
         waits = open_.select("conv_id", "call_id").distinct()
         ready = left.alias("l").join(waits.alias("w"), _same("l", "w") & (F.col("l.call_id") == F.col("w.call_id")), "left_anti")
-        ready = materialise(ready.withColumn("depth", F.lit(level).cast("long")), "chat-ready")
+        ready = scratch.table(ready.withColumn("depth", F.lit(level).cast("long")), "chat-ready")
         if ready.isEmpty():
             rest = left.withColumn("depth", F.lit(None).cast("long"))
             return rest if done is None else done.unionByName(rest)
         done = ready if done is None else done.unionByName(ready)
-        left = materialise(left.alias("l").join(ready.alias("w"), _same("l", "w") & (F.col("l.call_id") == F.col("w.call_id")), "left_anti"), "chat-nodes")
-        open_ = materialise(open_.alias("l").join(ready.alias("w"), _same("l", "w") & (F.col("l.parent") == F.col("w.call_id")), "left_anti"), "chat-edges")
+        left = scratch.table(left.alias("l").join(ready.alias("w"), _same("l", "w") & (F.col("l.call_id") == F.col("w.call_id")), "left_anti"), "chat-nodes")
+        open_ = scratch.table(open_.alias("l").join(ready.alias("w"), _same("l", "w") & (F.col("l.parent") == F.col("w.call_id")), "left_anti"), "chat-edges")
         level += 1
 
 
@@ -135,7 +135,9 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schema = REPLY) ->
     own = c.where("own").dropDuplicates(["conv_id", "call_id"])
     wanted = own.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("parent"))
     edges = wanted.alias("w").join(own.select("conv_id", "call_id").alias("o"), _same("w", "o") & (F.col("w.parent") == F.col("o.call_id")), "left_semi")
-    depth = materialise(_depths(own, edges), "chat-depths")
+    scratch = Scratch(calls.sparkSession)
+    depth = materialise(_depths(own, edges, scratch), "chat-depths")
+    scratch.clear()
     answers = results.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min(F.struct("turn", "content")).alias("a"))
     linked = c.alias("c").join(depth.alias("d"), _same("c", "d") & (F.col("c.call_id") == F.col("d.call_id")) & F.col("c.own"), "left")
     linked = linked.join(answers.alias("r"), _same("c", "r") & (F.col("c.call_id") == F.col("r.call_id")) & F.col("c.own"), "left")
