@@ -31,8 +31,10 @@ def raw_pairs(vec: DataFrame, targets: DataFrame | None = None, max_df: int | No
     The sides carry their norms, so the pairs need no join after the one on the feature. With
     `targets` (collection, function_id), pairs without a target are never formed: the target side
     is the small one. `max_df` drops features of more functions (off by default)."""
-    n = norms(vec).select("collection", "function_id", "n2", "total")
-    side = vec.join(n, ["collection", "function_id"])
+    # A function's vector passes through one row, which brings its norms to its features in one
+    # shuffle; a join would compute the vectors twice.
+    whole = vec.groupBy("collection", "function_id").agg(F.collect_list(F.struct("hash", "tf")).alias("f"), F.sum(F.col("tf") * F.col("tf")).alias("n2"), F.sum("tf").alias("total"))
+    side = whole.select("collection", "function_id", "n2", "total", F.inline("f"))
     if max_df is not None:
         w = Window.partitionBy("collection", "hash")
         side = side.withColumn("__df", F.count("*").over(w)).where(F.col("__df") <= max_df).drop("__df")
