@@ -57,8 +57,9 @@ def _junk(tag: str, attrs: str, stack: list) -> bool:
         return not any(s[0] in ("article", "main") for s in stack)
     if tag in ("html", "body", "main", "article") or "=" not in attrs:
         return False
+    inside = any(s[0] in ("article", "main") for s in stack)
     for m in _NAME.finditer(attrs):
-        if any(w in BOILERPLATE_NAMES for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())):
+        if any(w in BOILERPLATE_NAMES and not (inside and w == "header") for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())):
             return True
     return False
 
