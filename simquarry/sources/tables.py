@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Few input splits (a small file in one row group) are dealt to all cores before a costly
+    expansion; a scan that already has a split for each core is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def customer_functions(spark: SparkSession, d: str) -> DataFrame:
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
     rows = c.join(n, c["c_nationkey"] == n["n_nationkey"])
@@ -57,7 +64,8 @@ def _doc_id():
 def document_occurrences(spark: SparkSession, d: str) -> DataFrame:
     """One row per shingle occurrence: hash, position and the line it starts on. White space
     separates words; the hash is the first eight hex digits of the shingle's md5."""
-    t = table(spark, d, "documents").select("doc_id", "source", F.split(F.regexp_replace("text", r"^[ \t\n\r]+|[ \t\n\r]+$", ""), r"[ \t\n\r]+").alias("w"))
+    t = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    t = t.select("doc_id", "source", F.split(F.regexp_replace("text", r"^[ \t\n\r]+|[ \t\n\r]+$", ""), r"[ \t\n\r]+").alias("w"))
     t = t.where(F.size("w") >= SHINGLE)
     rows = t.select("source", "doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - (SHINGLE - 1))).alias("i"))
     shingle = F.concat_ws(" ", *(F.element_at("w", F.col("i") + k) for k in range(SHINGLE)))
@@ -70,7 +78,8 @@ def document_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def document_tokens(spark: SparkSession, d: str) -> DataFrame:
     """One row per token: lines are split at line feeds, tokens at single spaces."""
-    t = table(spark, d, "documents").select(F.lit("main").alias("collection"), _doc_id().alias("function_id"), F.posexplode(F.split("text", "\n")).alias("line", "l"))
+    t = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    t = t.select(F.lit("main").alias("collection"), _doc_id().alias("function_id"), F.posexplode(F.split("text", "\n")).alias("line", "l"))
     rows = t.select("collection", "function_id", F.col("line").cast("long").alias("line"), F.posexplode(F.split("l", " ")).alias("k", "text"))
     return rows.select("collection", "function_id", "line", F.col("k").cast("long").alias("idx"), "text")
 
