@@ -45,7 +45,7 @@ def pair_ends(sid: Column, collection: Column) -> tuple[Column, Column]:
     """The two function ids of a pair id: the second starts at the last function prefix."""
     mark = F.concat(F.lit(":idx:"), collection, F.lit(":func:"))
     body = F.regexp_replace(sid, r"^idx:[^:]*:sim:[^:]*:", "")
-    at = F.locate_expr(mark, body) if hasattr(F, "locate_expr") else F.call_function("locate", mark, body, F.lit(2))
+    at = F.call_function("locate", mark, body, F.lit(2))
     return F.substring(body, F.lit(1), at - 1), F.substring(body, at + 1, F.length(body))
 
 
