@@ -43,7 +43,9 @@ def parse_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     count as turn -1, null texts as empty; repeated rows count once."""
     rows = messages.select(
         F.col("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # Calls and results both read these rows.
+    rows = materialise(rows.distinct(), "chat-messages")
     rows = rows.withColumn("e", F.when(F.startswith(F.ltrim("text"), F.lit("{")), F.from_json("text", _ENVELOPE)))
     has_calls, is_result = F.coalesce(F.size("e.tool_calls") > 0, F.lit(False)), F.col("e.tool_call_id").isNotNull()
     made = rows.where(has_calls).select("conv_id", "turn", F.posexplode("e.tool_calls").alias("idx", "c"))
@@ -126,37 +128,42 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schema = REPLY) ->
     status: "answered", "unanswered", "duplicate" (the id was taken by an earlier call),
     "cyclic" (on or after a cycle of references; placed last) or "orphan" (a result without a
     call; no place). Of several results the first counts. References to unknown calls are ignored
-    for the order. Null ids never join: such calls are unanswered, such results orphans. Calls at
+    for the order; identical calls of one turn count once. Null ids never join: such calls are unanswered, such results orphans. Calls at
     the same depth go by turn, index and id."""
-    when = F.struct("turn", "idx", "name", "arguments")
-    first = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(when).alias("first"))
-    c = calls.alias("c").join(first.alias("f"), _same("c", "f") & (F.col("c.call_id") == F.col("f.call_id")), "left")
-    c = materialise(c.select("c.*", F.coalesce(F.struct("c.turn", "c.idx", "c.name", "c.arguments").eqNullSafe(F.col("f.first")), F.lit(False)).alias("own")), "chat-calls")
-    own = c.where("own").dropDuplicates(["conv_id", "call_id"])
+    # Texts stay with `full`; order, duplicates and places are worked out on keys alone.
+    full = calls.withColumn("tie", F.xxhash64("name", "arguments")).dropDuplicates(["conv_id", "call_id", "turn", "idx", "tie"])
+    when = F.struct("turn", "idx", "tie")
+    keys = materialise(full.select("conv_id", "call_id", "turn", "idx", "tie", "after"), "chat-keys")
+    first = keys.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(when).alias("first"))
+    answers = results.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min(F.struct("turn", "content")).alias("a"))
+    answers = materialise(answers.select("conv_id", "call_id", "n", F.col("a.content").alias("content")), "chat-answers")
+    own = keys.alias("k").join(first.alias("f"), _same("k", "f") & (F.col("k.call_id") == F.col("f.call_id")) & (F.struct("k.turn", "k.idx", "k.tie") == F.col("f.first")), "left_semi")
     wanted = own.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("parent"))
     edges = wanted.alias("w").join(own.select("conv_id", "call_id").alias("o"), _same("w", "o") & (F.col("w.parent") == F.col("o.call_id")), "left_semi")
     scratch = Scratch(calls.sparkSession)
-    depth = materialise(_depths(own, edges, scratch), "chat-depths")
+    depth = _depths(own, edges, scratch)
+    k = keys.alias("c").join(first.alias("f"), _same("c", "f") & (F.col("c.call_id") == F.col("f.call_id")), "left").join(depth.alias("d"), _same("c", "d") & (F.col("c.call_id") == F.col("d.call_id")), "left")
+    is_own = F.coalesce(F.struct("c.turn", "c.idx", "c.tie") == F.col("f.first"), F.lit(False))
+    k = k.select("c.conv_id", "c.call_id", "c.turn", "c.idx", "c.tie", is_own.alias("own"), F.when(is_own, F.col("d.depth")).alias("depth"))
+    # Places: calls sort by (depth, turn block, turn, ...); a block starts after all before it.
+    k = materialise(k.withColumns({"lv": F.coalesce("depth", F.lit(1 << 60)), "bk": F.floor(F.col("turn") / TURNS)}), "chat-places")
     scratch.clear()
-    answers = results.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min(F.struct("turn", "content")).alias("a"))
-    linked = c.alias("c").join(depth.alias("d"), _same("c", "d") & (F.col("c.call_id") == F.col("d.call_id")) & F.col("c.own"), "left")
-    linked = linked.join(answers.alias("r"), _same("c", "r") & (F.col("c.call_id") == F.col("r.call_id")) & F.col("c.own"), "left")
-    status = F.when(~F.col("c.own") & F.col("c.call_id").isNotNull(), "duplicate").when(F.col("c.own") & F.col("d.depth").isNull(), "cyclic").when(F.col("r.n").isNotNull(), "answered").otherwise("unanswered")
-    linked = linked.select("c.conv_id", "c.call_id", "c.name", "c.turn", "c.idx", "c.arguments", "d.depth", status.alias("status"), F.coalesce("r.n", F.lit(0)).alias("n_results"), F.col("r.a.content").alias("content"))
-    linked = linked.withColumn("problems", problems(schemas)).withColumn("valid", F.size("problems") == 0)
+    sizes = k.groupBy("conv_id", "lv", "bk").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("lv", "bk")
+    starts = sizes.select("conv_id", "lv", "bk", (F.sum("n").over(before) - F.col("n")).alias("start"))
+    inside = Window.partitionBy("conv_id", "lv", "bk").orderBy("turn", "idx", "call_id", "tie")
+    placed = k.withColumn("i", F.row_number().over(inside)).alias("k").join(starts.alias("s"), _same("k", "s") & (F.col("k.lv") == F.col("s.lv")) & (F.col("k.bk") == F.col("s.bk")))
+    placed = placed.select("k.conv_id", "k.call_id", "k.turn", "k.idx", "k.tie", "k.own", "k.depth", (F.col("s.start") + F.col("k.i") - 1).alias("place"))
+    on = _same("c", "p") & F.col("c.call_id").eqNullSafe(F.col("p.call_id")) & (F.col("c.turn") == F.col("p.turn")) & (F.col("c.idx") == F.col("p.idx")) & (F.col("c.tie") == F.col("p.tie"))
+    linked = full.alias("c").join(placed.alias("p"), on).join(answers.alias("r"), _same("c", "r") & (F.col("c.call_id") == F.col("r.call_id")) & F.col("p.own"), "left")
+    status = F.when(~F.col("p.own") & F.col("c.call_id").isNotNull(), "duplicate").when(F.col("p.own") & F.col("p.depth").isNull(), "cyclic").when(F.col("r.n").isNotNull(), "answered").otherwise("unanswered")
+    linked = linked.select("c.conv_id", "c.call_id", "c.name", "c.turn", "c.arguments", "p.place", "p.depth", status.alias("status"), F.coalesce("r.n", F.lit(0)).cast("long").alias("n_results"), "r.content")
+    linked = linked.withColumn("problems", problems(schemas))
     args = F.coalesce(F.to_json(F.try_parse_json("arguments")), quoted(F.col("arguments")))
     record = F.concat(
         F.lit('{"arguments":'), args, F.lit(',"id":'), F.coalesce(quoted(F.col("call_id")), F.lit("null")), F.lit(',"name":'), F.coalesce(quoted(F.col("name")), F.lit("null")),
         F.lit(',"result":'), F.when(F.col("content").isNull(), "null").otherwise(quoted(F.col("content"))), F.lit("}"))
-    linked = materialise(linked.withColumn("record", record).drop("arguments", "content"), "chat-linked")
-    # Places: calls sort by (depth, turn block, turn, ...); a block starts after all before it.
-    keyed = linked.withColumns({"lv": F.coalesce("depth", F.lit(1 << 60)), "bk": F.floor(F.col("turn") / TURNS)})
-    sizes = keyed.groupBy("conv_id", "lv", "bk").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("conv_id").orderBy("lv", "bk")
-    starts = sizes.select("conv_id", "lv", "bk", (F.sum("n").over(before) - F.col("n")).alias("start"))
-    inside = Window.partitionBy("conv_id", "lv", "bk").orderBy("turn", "idx", "call_id", "name", "record")
-    numbered = keyed.withColumn("i", F.row_number().over(inside)).alias("k").join(starts.alias("s"), _same("k", "s") & (F.col("k.lv") == F.col("s.lv")) & (F.col("k.bk") == F.col("s.bk")))
-    out = numbered.select("k.conv_id", "k.call_id", "k.name", "k.turn", (F.col("s.start") + F.col("k.i") - 1).alias("place"), "k.depth", "k.status", F.col("k.n_results").cast("long").alias("n_results"), "k.valid", "k.problems", "k.record")
+    out = linked.select("conv_id", "call_id", "name", "turn", "place", "depth", "status", "n_results", (F.size("problems") == 0).alias("valid"), "problems", record.alias("record"))
     lost = results.alias("r").join(own.select("conv_id", "call_id").alias("o"), _same("r", "o") & (F.col("r.call_id") == F.col("o.call_id")), "left_anti")
     lost = lost.select(
         "conv_id", "call_id", F.lit(None).cast("string").alias("name"), "turn", F.lit(None).cast("long").alias("place"), F.lit(None).cast("long").alias("depth"), F.lit("orphan").alias("status"), F.lit(1).cast("long").alias("n_results"),
