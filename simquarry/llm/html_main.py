@@ -3,9 +3,9 @@
 A page is read into text blocks, each with its root-to-leaf tag path. Per path the text length
 and the punctuation are summed and set against the number of nodes on the path; both ratios are
 smoothed over sibling paths (those that differ in the last tag only), fused by their geometric
-mean, discounted by link text, and thresholded. The blocks of the content node, the element under
-which the selected paths' text lies, are the result, without elements that are boilerplate by
-tag or by class.
+mean, discounted by link text, and thresholded. The blocks of the content node, the deepest element
+that leaves out only links and boilerplate, are the result, without elements that are boilerplate
+by tag or by class; the selected paths tell whether a main element holds the page's text.
 """
 
 from __future__ import annotations
@@ -39,8 +39,6 @@ BOILERPLATE_NAMES = frozenset(
 )
 _WORD = re.compile(r"[a-z]+")
 THRESHOLD = 0.25
-#: Share of the selected text that the content node must hold.
-COVER = 0.7
 
 
 class Block:
@@ -178,26 +176,24 @@ def main_text(html: str | None) -> str:
     scores = path_scores(content)
     top = max(scores.values())
     chosen = [b for b in content if scores[b.path] >= THRESHOLD * top] or content
-    # The content node: the deepest element that holds most of the selected text, or the
-    # nearest article or main element around it.
-    weight: dict[int, int] = defaultdict(int)
-    for b in chosen:
-        for n in b.nodes:
-            weight[n] += len(b.text)
-    total = sum(len(b.text) for b in chosen)
-    node, name = None, ""
-    best = max(chosen, key=lambda b: (len(b.nodes) and weight[b.nodes[-1]], len(b.text)))
-    for n, tag in zip(best.nodes, best.path, strict=True):
-        if weight[n] < COVER * total:
-            break
-        node, name = n, tag
-        if tag in ("article", "main") and all(t != "article" for t in best.path[best.nodes.index(n) + 1 :]):
+    # The content node: the deepest element that holds every block but those made of links, or the
+    # nearest article or main element around it. Where one main element holds all selected
+    # text, other text outside it than headlines doesn't count.
+    firm = [b for b in content if 2 * b.linked < len(b.text) or "h1" in b.path] or content
+    mains = set.intersection(*({n for n, t in zip(b.nodes, b.path, strict=True) if t == "main"} for b in chosen))
+    firm = [b for b in firm if not mains or mains & set(b.nodes) or "h1" in b.path] or content
+    nodes, path = firm[0].nodes, firm[0].path
+    for b in firm:
+        k = next((k for k, (x, y) in enumerate(zip(nodes, b.nodes, strict=False)) if x != y), min(len(nodes), len(b.nodes)))
+        nodes, path = nodes[:k], path[:k]
+    for k, tag in enumerate(path):
+        if tag in ("article", "main") and "article" not in path[k + 1 :]:
+            nodes, path = nodes[: k + 1], path[: k + 1]
             break
     # A content node that is itself one paragraph widens to its parent.
-    if name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "td"):
-        k = best.nodes.index(node)
-        node = best.nodes[k - 1] if k else None
-    return " ".join(b.text for b in content if node is None or node in b.nodes)
+    if path and path[-1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "td"):
+        nodes = nodes[:-1]
+    return " ".join(b.text for b in content if not nodes or nodes[-1] in b.nodes)
 
 
 def extract_main(pages: DataFrame, html_col: str = "html") -> DataFrame:

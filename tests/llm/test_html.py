@@ -37,6 +37,17 @@ def test_paths():
     assert [(b.text, b.path) for b in found] == [("one", ("div", "p")), ("two in line", ("div", "p"))]
 
 
+@pytest.mark.parametrize("body,text", [
+    (f"<div id=content><h1>T</h1><div class=text><p>{P}</p><p>{P}</p></div></div>", f"T {P} {P}"),
+    (f"<div><div class=a>{f'<p>{P}</p>' * 3}</div><div class=b><p>{P}</p></div></div>", " ".join([P] * 4)),
+    (f"<div id=top><a href=/>Home</a></div><div><div>{f'<p>{P}</p>' * 9}</div><table><tr><td>1<td>2</table><ul><li>One</ul></div>", " ".join([P] * 9 + ["1 2 One"])),
+    (f"<h1><a href=/t>T</a></h1><article><p>{P}</p></article>", f"T {P}"),
+    (f"<div>Site line.</div><main><h2>T</h2><div>{f'<p>{P}</p>' * 2}</div></main>", f"T {P} {P}"),
+])
+def test_div_layouts(body, text):
+    assert main_text(f"<body>{body}</body>") == text
+
+
 def test_table_is_the_article_element(spark, data):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     for r in op5_html_extraction(spark, data).collect():
