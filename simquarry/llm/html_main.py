@@ -24,7 +24,7 @@ _TOKEN = re.compile(
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
     re.S | re.I,
 )
-_NAME = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _PUNCT = re.compile(r"[.,;:!?…。，！？]")
 
 # Fixed values of HTML.
@@ -35,37 +35,57 @@ SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
 STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
 BOILERPLATE_TAGS = frozenset("nav aside footer form button dialog menu head".split())
 BOILERPLATE_NAMES = frozenset(
-    "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer sidebar side aside widget widgets cookie cookies consent gdpr notice notices alert banner ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted comment comments respond replies reply disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay pagination pager tags toolbar search copyright legal skip".split()
+    "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer sidebar aside widget widgets cookie cookies consent gdpr banner ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted comment comments respond replies disqus newsletter subscribe signup login popup modal overlay pagination pager toolbar copyright".split()
 )
-_WORD = re.compile(r"[a-z]+")
+#: Names that content has as well: the path scores decide.
+WEAK_NAMES = frozenset("side notice notices alert reply share sharing social related recommended recommendations subscription tags search legal skip".split())
+#: Words that may stand beside a name in one token.
+QUALIFIERS = frozenset("site page main top bottom left right primary secondary global mobile desktop container wrapper box bar area block section list link links".split())
+_WORD = re.compile(r"[a-z0-9]+")
+WEAK, STRONG, BY_TAG = 1, 2, 3
 THRESHOLD = 0.25
 
 
 class Block:
-    __slots__ = ("text", "path", "nodes", "linked")
+    __slots__ = ("text", "path", "nodes", "linked", "marks")
 
-    def __init__(self, text: str, path: tuple, nodes: tuple, linked: int):
-        self.text, self.path, self.nodes, self.linked = text, path, nodes, linked
+    def __init__(self, text: str, path: tuple, nodes: tuple, linked: int, marks: tuple = ()):
+        self.text, self.path, self.nodes, self.linked, self.marks = text, path, nodes, linked, marks
 
 
-def _junk(tag: str, attrs: str, stack: list) -> bool:
+def _name_mark(name: str, inside: bool) -> int:
+    """How sure one whole class token, id, role or label is to name boilerplate."""
+    found = _WORD.findall(name)
+    names = [w for w in found if w in BOILERPLATE_NAMES and not (inside and w == "header")]
+    weak = [w for w in found if w in WEAK_NAMES]
+    if not names and not weak or any(w not in QUALIFIERS and w not in BOILERPLATE_NAMES and w not in WEAK_NAMES for w in found):
+        return 0
+    return STRONG if names else WEAK
+
+
+def _mark(tag: str, attrs: str, stack: list) -> int:
+    """0, or how sure an element is to be boilerplate: WEAK or STRONG by name, or BY_TAG."""
     if tag in BOILERPLATE_TAGS:
-        return True
+        return BY_TAG
+    inside = any(s[0] in ("article", "main") for s in stack)
     if tag == "header":
-        return not any(s[0] in ("article", "main") for s in stack)
+        return 0 if inside else BY_TAG
     if tag in ("html", "body", "main", "article") or "=" not in attrs:
-        return False
-    inside = any(s[0] in ("article", "main") for s in stack)
-    for m in _NAME.finditer(attrs):
-        if any(w in BOILERPLATE_NAMES and not (inside and w == "header") for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+        return 0
+    out = 0
+    for m in _ATTR.finditer(attrs):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key in ("class", "role", "id"):
+            out = max([out, *(_name_mark(name, inside) for name in value.split())])
+        elif key == "aria-label":
+            out = max(out, _name_mark(value, inside))
+    return out
 
 
 def blocks(html: str) -> list[Block]:
     """The page's text blocks in order, without scripts, styles, titles and comments."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, node number, inside boilerplate
+    stack: list[tuple[str, int, int]] = []  # tag, node number, mark
     pieces: list[str] = []
     linked = 0
     made = 0
@@ -76,8 +96,8 @@ def blocks(html: str) -> list[Block]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text and owner is not None:
-                path, nodes = owner
-                out.append(Block(text, path, nodes, linked))
+                path, nodes, marks = owner
+                out.append(Block(text, path, nodes, linked, marks))
             pieces.clear()
         linked, owner = 0, None
 
@@ -88,7 +108,10 @@ def blocks(html: str) -> list[Block]:
         text = unescape(raw) if "&" in raw else raw
         pieces.append(text)
         if owner is None and not text.isspace():
-            owner = tuple(s[0] + "!" * s[2] for s in stack if s[0] not in INLINE), tuple(s[1] for s in stack if s[0] not in INLINE)
+            outer = [s for s in stack if s[0] not in INLINE]
+            # Inline elements count where a block lies in them.
+            marks = tuple((s[1], s[2]) for s in stack if s[2] and s[1] <= outer[-1][1]) if outer else ()
+            owner = tuple(s[0] for s in outer), tuple(s[1] for s in outer), marks
         if any(s[0] == "a" for s in stack):
             linked += len(text)
 
@@ -139,7 +162,7 @@ def blocks(html: str) -> list[Block]:
         if tag in VOID or m[4].endswith("/") and tag not in CLOSES_P and tag not in INLINE:
             continue
         made += 1
-        stack.append((tag, made, bool(stack and stack[-1][2]) or _junk(tag, m[4], stack)))
+        stack.append((tag, made, _mark(tag, m[4], stack)))
     add(html[at:].partition("<")[0] if re.match(r"[^<]*<[/a-zA-Z!][^>]*\Z", html[at:], re.S) else html[at:])
     flush()
     return out
@@ -167,15 +190,45 @@ def path_scores(found: list[Block]) -> dict[tuple, float]:
     return out
 
 
+def content_blocks(found: list[Block]) -> list[Block]:
+    """The blocks outside boilerplate, with those under a weak name. A name doesn't count on an
+    element that holds the page's main or largest article element or, on pages without one
+    beside it, most of the page's text."""
+    seen = [b for b in found if all(mark != BY_TAG for _, mark in b.marks)]
+    size: dict[int, int] = defaultdict(int)
+    articles: dict[int, str] = {}
+    around: dict[int, set] = defaultdict(set)  # article elements in or around a marked one
+    for b in seen:
+        own = {n: t for n, t in zip(b.nodes, b.path, strict=True) if t in ("article", "main")}
+        articles.update(own)
+        for n in {*own, *(n for n, _ in b.marks)}:
+            size[n] += len(b.text)
+        for n, _ in b.marks:
+            around[n].update(own)
+    total = sum(len(b.text) for b in seen)
+    top = max(articles, key=lambda n: (articles[n] == "main", size[n], -n), default=-1)
+    exempt = {n for n, own in around.items() if n < top and top in own or 2 * size[n] > total and len(own) == len(articles)}
+    out = []
+    for b in seen:
+        marks = tuple((n, mark) for n, mark in b.marks if n not in exempt)
+        if all(mark == WEAK for _, mark in marks):
+            out.append(Block(b.text, b.path, b.nodes, b.linked, marks))
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page; empty where there is none."""
-    found = [b for b in blocks(html or "")]
-    content = [b for b in found if not (b.path and b.path[-1].endswith("!"))]
+    content = content_blocks(blocks(html or ""))
     if not content:
         return ""
     scores = path_scores(content)
     top = max(scores.values())
     chosen = [b for b in content if scores[b.path] >= THRESHOLD * top] or content
+    picked = {id(b) for b in chosen}
+    content = [b for b in content if not b.marks or id(b) in picked and 2 * b.linked < len(b.text)]
+    if not content:
+        return ""
+    chosen = [b for b in content if id(b) in picked] or content
     # The content node: the deepest element that holds every block but those made of links, or the
     # nearest article or main element around it. Where one main element holds all selected
     # text, other text outside it than headlines doesn't count.

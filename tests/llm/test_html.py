@@ -48,6 +48,19 @@ def test_div_layouts(body, text):
     assert main_text(f"<body>{body}</body>") == text
 
 
+@pytest.mark.parametrize("attrs", ["id=page class='has-sidebar'", "class='content no-sidebar'", "class='layout-sidebar-right'", "class='post comments-open'", "data-id=sidebar", "title='x class=ad y'", "aria-label='Search results and comments'", "class=sidebar"])
+def test_wrapper_names(attrs):
+    page = f"<body><div {attrs}><h1>T</h1><p>{P}</p><div class=sidebar-left><p>Ad, ad.</p></div><div><p>{P}</p></div></div><div class=site-footer><p>Us, here.</p></div></body>"
+    assert main_text(page) == f"T {P} {P}"
+    assert main_text(f"<body><div class=comments><article><p>{P}</p></article></div><div class=ad>No, no.</div></body>") == P
+
+
+@pytest.mark.parametrize("name", ["legal", "notice", "search", "tags", "side", "share"])
+def test_weak_names(name):
+    page = f"<body><article><h1>T</h1><p>{P}</p><p class={name}>{P}</p><section class={name}><p>{P}</p><p>{P}</p></section><div class={name}><a href=1>A, b.</a></div><div class='{name} sidebar'>{P}</div></article></body>"
+    assert main_text(page) == f"T {P} {P} {P} {P}"
+
+
 def test_table_is_the_article_element(spark, data):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     for r in op5_html_extraction(spark, data).collect():
