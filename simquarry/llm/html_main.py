@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|template|title|textarea|svg|iframe|object|select|math)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
     re.S | re.I,
 )
@@ -28,8 +27,14 @@ _ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _PUNCT = re.compile(r"[.,;:!?…。，！？]")
 
 # Fixed values of HTML.
+#: Elements whose text is left out; those of raw text reach to the page's end if nothing closes them.
+RAW = frozenset("script style textarea title".split())
+SKIPPED = RAW | frozenset("noscript template iframe select".split())
+_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in SKIPPED}
+#: Elements that "/>" closes, whatever they are.
+FOREIGN = frozenset("svg math iframe object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var svg math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
@@ -129,16 +134,17 @@ def blocks(html: str) -> list[Block]:
         return None
 
     at = 0
-    for m in _TOKEN.finditer(html):
+    unclosed: set[str] = set()
+    while m := _TOKEN.search(html, at):
         add(html[at : m.start()])
         at = m.end()
-        tag = m[3]
+        tag = m[2]
         if tag is None:
             if m[0].startswith("<![CDATA["):
                 add(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
         tag = tag.lower()
-        if m[2]:
+        if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     pop(i)
@@ -149,6 +155,15 @@ def blocks(html: str) -> list[Block]:
                 if tag not in INLINE:
                     flush()
             continue
+        empty = m[3].endswith("/")
+        if tag in SKIPPED:
+            if empty and (tag in FOREIGN or any(s[0] in ("svg", "math") for s in stack)):
+                continue
+            end = None if tag in unclosed else _CLOSE[tag].search(html, at)
+            if end or tag in RAW:
+                at = end.end() if end else len(html)
+                continue
+            unclosed.add(tag)
         if tag in CLOSES_P:
             close_p()
         for i in range(len(stack) - 1, -1, -1):
@@ -159,10 +174,10 @@ def blocks(html: str) -> list[Block]:
                 break
         if tag not in INLINE:
             flush()
-        if tag in VOID or m[4].endswith("/") and tag not in CLOSES_P and tag not in INLINE:
+        if tag in VOID or empty and (tag in FOREIGN or tag not in CLOSES_P and tag not in INLINE):
             continue
         made += 1
-        stack.append((tag, made, _mark(tag, m[4], stack)))
+        stack.append((tag, made, _mark(tag, m[3], stack)))
     add(html[at:].partition("<")[0] if re.match(r"[^<]*<[/a-zA-Z!][^>]*\Z", html[at:], re.S) else html[at:])
     flush()
     return out

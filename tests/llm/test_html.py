@@ -61,6 +61,20 @@ def test_weak_names(name):
     assert main_text(page) == f"T {P} {P} {P} {P}"
 
 
+@pytest.mark.parametrize("inner,text", [
+    ("<svg class=icon/>", ""), ("<math/>", ""), ("<iframe src='a>b'/>", ""), ("<object data=x />", ""), ("<svg><title/><style/><path d=M1 /></svg>", ""),
+    ("<iframe src=x>", ""), ("<template>", ""), ("<noscript>n</noscript><iframe>i</iframe><select><option>o</select>", ""),
+    ("<math><mi>E</mi><mo>=</mo><mi>m</mi></math>", "E=m "), ("<object><p>In its place.</p></object>", "In its place. "), ("<svg><text>Axis</text></svg>", "Axis "),
+])
+def test_foreign_elements(inner, text):
+    assert main_text(f"<article><p>{P}</p>{inner}<p>{P}</p></article>") == f"{P} {text}{P}"
+    assert main_text(f"<article><p>{P}</p>{inner}<p>{P}</p><svg></svg></article>") == f"{P} {text}{P}"
+
+
+def test_raw_text_reaches_the_end():
+    assert main_text(f"<article><p>{P}</p><script>no</article>") == P
+
+
 def test_table_is_the_article_element(spark, data):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     for r in op5_html_extraction(spark, data).collect():
