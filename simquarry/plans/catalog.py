@@ -346,12 +346,26 @@ def index_status_missing(s, d):
     return stats.index_summary(src.files_of(f), f, f.where("c_acctbal > 0"), v, v.where("tf > 1"))
 
 
+@query(f"""{BASE.rstrip()}, t AS (SELECT CAST(count(DISTINCT file_md5) AS BIGINT) AS num_files, CAST(count(*) AS BIGINT) AS num_functions, CAST(count(*) FILTER (WHERE c_acctbal > 0) AS BIGINT) AS num_indexed FROM fn)
+  SELECT 'main' AS collection, num_files, num_functions, num_indexed, (SELECT CAST(count(DISTINCT hash) AS BIGINT) FROM vec) AS num_features, (SELECT CAST(count(*) AS BIGINT) FROM sims) AS num_sim_meta, num_functions - num_indexed AS num_missing, num_indexed / num_functions * 100.0 AS indexing_ratio FROM t""")
+def index_status_pairs(s, d):
+    """index_status_missing with the pair table of a build."""
+    f, v = src.customer_functions(s, d), src.customer_vectors(s, d)
+    return stats.index_summary(src.files_of(f), f, f.where("c_acctbal > 0"), v, _sims(s, d))
+
+
 @query("""SELECT 'pages' AS component, CAST(count(*) AS BIGINT) AS count, avg(z) AS avg_size, CAST(sum(z) AS BIGINT) AS total_size FROM (SELECT octet_length(encode('{"page_id":' || page_id || ',"url":"' || url || '"}')) AS z FROM pages)
   UNION ALL SELECT 'labels', count(*), avg(z), CAST(sum(z) AS BIGINT) FROM (SELECT octet_length(encode('{"doc_id":' || doc_id || ',"quality":' || quality || ',"toxic":' || toxic || '}')) AS z FROM labels)""")
 def storage_breakdown(s, d):
     return stats.storage({"pages": src.table(s, d, "pages").select("page_id", "url"), "labels": src.table(s, d, "labels").select("doc_id", "quality", "toxic")})
 
 
+@query("""SELECT 'pages' AS component, CAST(count(*) AS BIGINT) AS count, avg(z) AS avg_size, CAST(sum(z) AS BIGINT) AS total_size FROM (SELECT octet_length(encode(CAST(json_object('page_id', page_id, 'url', url, 'html', html) AS VARCHAR))) AS z FROM pages)
+  UNION ALL SELECT 'labels', count(*), avg(z), CAST(sum(z) AS BIGINT) FROM (SELECT octet_length(encode(CAST(json_object('doc_id', doc_id, 'quality', quality, 'toxic', toxic) AS VARCHAR))) AS z FROM labels)""")
+def storage_whole_rows(s, d):
+    return stats.storage({name: src.table(s, d, name) for name in ("pages", "labels")})
+
+
 # ------------------------------------------------------------------ tags
 
 _TAGS = """tg AS (SELECT 'main' AS collection, unnest(['debt', 'Rich', 'rich', 'mid', 'building', 'unused']) AS tag), us AS (SELECT lower(tag) AS low FROM fn UNION ALL SELECT lower(user_tag) FROM fn WHERE user_tag IS NOT NULL)"""
@@ -488,7 +502,10 @@ def csv_tags_normalise(s, d):
 @query("""SELECT o_orderkey, 'idx:main:func:' || o_custkey || ':' || lower(hex(o_orderkey)) AS function_id, 'idx:main:file:' || o_custkey AS file_id, lower(hex(o_orderkey)) AS address, CAST(o_custkey AS VARCHAR) AS md5, 'unknown_addr' AS missing,
   'idx:main:sim:jaccard:idx:main:func:9:1:idx:main:func:' || o_custkey || ':' || lower(hex(o_orderkey)) AS sid, 'main:function:' || o_custkey || ':' || lower(hex(o_orderkey)) AS legacy FROM (SELECT * FROM orders WHERE CAST(o_custkey AS VARCHAR) < '9')""")
 def id_parse_build(s, d):
-    o = src.table(s, d, "orders").where(F.col("o_custkey").cast("string") < "9")
+    return _id_parse_build(src.table(s, d, "orders").where(F.col("o_custkey").cast("string") < "9"))
+
+
+def _id_parse_build(o):
     md5 = F.col("o_custkey").cast("string")
     full = F.concat(md5, F.lit(":#"), md5, F.lit("::f:@x::g:@"), ids.hex32(F.col("o_orderkey")))
     fid = ids.function_id(F.lit("main"), md5, ids.address_of(full))
@@ -497,6 +514,16 @@ def id_parse_build(s, d):
         ids.pair_id(F.lit("main"), F.lit("jaccard"), fid, F.lit("idx:main:func:9:1")).alias("sid"), ids.legacy_function_id(F.concat(F.lit("main:#"), md5, F.lit("::f:@"), ids.last_part(fid))).alias("legacy"))
 
 
+_FID = "'idx:main:func:' || o_custkey || ':' || lower(hex(o_orderkey))"
+
+
+@query(f"""SELECT o_orderkey, {_FID} AS function_id, 'idx:main:file:' || o_custkey AS file_id, lower(hex(o_orderkey)) AS address, CAST(o_custkey AS VARCHAR) AS md5, 'unknown_addr' AS missing,
+  'idx:main:sim:jaccard:' || greatest('idx:main:func:9:1', {_FID}) || ':' || least('idx:main:func:9:1', {_FID}) AS sid, 'main:function:' || o_custkey || ':' || lower(hex(o_orderkey)) AS legacy FROM orders""")
+def id_parse_build_all(s, d):
+    """id_parse_build over every order, with pair ids in either order."""
+    return _id_parse_build(src.table(s, d, "orders"))
+
+
 # ------------------------------------------------------------------ jobs
 
 @query(f"""WITH {JOBS}, r AS (SELECT CAST(count(*) FILTER (WHERE status = 'running') AS BIGINT) AS active_workers, CAST(count(*) FILTER (WHERE status = 'pending') AS BIGINT) AS pending_jobs, CAST(sum(100 - processed_items) FILTER (WHERE status = 'running') AS BIGINT) AS remaining_items,
