@@ -71,22 +71,49 @@ def _hash_words(texts: list[str]) -> list[np.ndarray]:
     return np.split(h, np.cumsum(np.bincount(row, minlength=len(texts)))[:-1]) if texts else []
 
 
+class Totals:
+    """What a score takes from all items together: their number, mean and largest length in
+    words, and in how many items each word is. (Non-essential words only save work: an index
+    works out its own.)"""
+
+    def __init__(self):
+        self.n, self.words, self.longest = 0, 0, 0
+        self.vocab, self.df = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, texts: list[str]) -> None:
+        hashed = [h for h in _hash_words(texts) if len(h)]
+        if not hashed:
+            return
+        self.n += len(hashed)
+        self.words += sum(map(len, hashed))
+        self.longest = max(self.longest, *(len(tokens(t)) for t in texts), 0)
+        word, count = np.unique(np.concatenate([np.unique(h) for h in hashed]), return_counts=True)
+        both, at = np.unique(np.concatenate((self.vocab, word)), return_inverse=True)
+        self.vocab, self.df = both, np.bincount(at, weights=np.concatenate((self.df, count)), minlength=len(both)).astype(np.int64)
+
+    def items_with(self, vocab: np.ndarray) -> np.ndarray:
+        return self.df[np.searchsorted(self.vocab, vocab)]
+
+
 class Index:
     """The BM25 inverted index of test items, with largest weights per term and block."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, totals: Totals | None = None):
+        if totals is None:
+            totals = Totals()
+            totals.add([t or "" for _, t in items])
         items = sorted(((i, t or "") for i, t in items), key=lambda x: (len(tokens(x[1])), x[0] is not None, x[0]))
         hashed = _hash_words([t for _, t in items])
         keep = [k for k, h in enumerate(hashed) if len(h)]
         items, hashed = [items[k] for k in keep], [hashed[k] for k in keep]
         self.threshold, self.ids, self.n = threshold, [i for i, _ in items], len(items)
         self.parts = [tuple(map(grams, question_answer(t))) + (grams(tokens(t)),) for _, t in items]
-        self.longest = max((len(tokens(t)) for _, t in items), default=0)
+        self.longest = totals.longest
         self.vocab = np.unique(np.concatenate(hashed)) if items else np.zeros(0, np.uint64)
         term, item, weight = [], [], []
-        mean = sum(map(len, hashed)) / max(1, self.n)
-        df = np.bincount(np.concatenate([np.searchsorted(self.vocab, np.unique(h)) for h in hashed]), minlength=len(self.vocab)) if items else np.zeros(0)
-        idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
+        mean = totals.words / max(1, totals.n)
+        df = totals.items_with(self.vocab)
+        idf = np.log(1 + (totals.n - df + 0.5) / (df + 0.5))
         for k, h in enumerate(hashed):
             u, tf = np.unique(h, return_counts=True)
             t = np.searchsorted(self.vocab, u)
@@ -249,21 +276,31 @@ def _search(index):
     return run
 
 
+def _indexes(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD):
+    """Broadcasts of indexes of INDEX_BYTES of items each, about; their scores are those of one
+    index over all items."""
+    spark = docs.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, math.ceil(total / INDEX_BYTES))
+    own = lambda p: [(r["item_id"], r["text"]) for r in (items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p) if parts > 1 else items).collect()]
+    totals = None
+    if parts > 1:
+        totals = Totals()
+        for p in range(parts):
+            totals.add([t for _, t in own(p)])
+    for p in range(parts):
+        yield spark.sparkContext.broadcast(Index(own(p), threshold, totals))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of each leaked test item in
     each row of `docs`; the best passage counts. Whole texts are searched. Documents and items
     without words have no leaks; rows with a null id are reported with it; repeated rows are
     reported each. Empty tables give an empty result."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    parts = max(1, math.ceil(total / INDEX_BYTES))
     rows = docs.select(F.col(f"`{id_col}`").alias("row_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     out = None
-    for p in range(parts):
-        # Each index holds INDEX_BYTES of items, about; they are searched one after the other.
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p) if parts > 1 else items
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in own.collect()], threshold))
+    for index in _indexes(docs, benchmark, threshold):
         kind = rows.schema["row_id"].dataType.simpleString()
         found = rows.mapInArrow(_search(index), f"row_id {kind}, item_id long, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionByName(found)
@@ -273,13 +310,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the rows whose text leaks a test item, in one pass and without a join."""
     rows = docs.withColumn("__text", F.col("text").cast("string"))
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    parts = max(1, math.ceil(total / INDEX_BYTES))
-    for p in range(parts):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == p) if parts > 1 else items
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in own.collect()]))
+    for index in _indexes(docs, benchmark):
 
         def clean(batches, index=index):
             search = _search(index)

@@ -67,3 +67,20 @@ def test_several_indexes(spark, monkeypatch):
     items = [(i, f"question {i} alpha{i} beta{i} gamma{i}? answer{i} delta{i} is here{i}") for i in range(8)]
     df = spark.createDataFrame([(i, f"intro text {t} and more", "") for i, t in items], DOCS)
     assert {(r.doc_id, r.item_id) for r in de.find_leaks(df, spark.createDataFrame(items, ITEMS)).collect()} == {(i, i) for i in range(8)}
+
+
+def test_several_indexes_score_as_one(spark, monkeypatch):
+    rng = random.Random(3)
+    vocab = [f"v{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randrange(4, 60))) + "? " + " ".join(rng.choices(vocab, k=4)) + ".") for i in range(24)]
+    cut = [(i, " ".join(t.split()[: -rng.randrange(1, 12)])) for i, t in items]
+    df = spark.createDataFrame([(i, f"{' '.join(rng.choices(vocab, k=30))} {t} {' '.join(rng.choices(vocab, k=30))}", "") for i, t in items + cut], DOCS)
+    bench = spark.createDataFrame([*items, (99, " ".join(f"long{i}" for i in range(150)))], ITEMS)
+
+    def run():
+        leaks = sorted((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in de.find_leaks(df, bench).collect())
+        return leaks, sorted(r.text for r in de.decontaminated(df, bench).collect())
+
+    one = run()
+    monkeypatch.setattr(de, "INDEX_BYTES", 700)
+    assert run() == one and len(one[0]) > 20
