@@ -14,14 +14,24 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------- scratch
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder's URI with the scheme that Spark gives it, so that Arrow means the same place."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if "://" in folder:
+        return folder
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().replace("file:/", "file:///", 1)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that
-    is unset (local tests), a fresh temporary folder that is then set on the session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session
+    that leaves it unset (tests) gets a fresh temporary folder, which is then set on the session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="simquarry-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return qualified(spark, found).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -70,34 +80,14 @@ def text_or_empty(col: str = "text"):
 
 # ---------------------------------------------------------------- bytes and words
 
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32  # A-Z only
-_BYTE_LOWER = _BYTE[LOWER]
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-#: Bytes that are neither ASCII letters or digits nor part of a longer character.
-MARKS = np.ones(256, dtype=bool)
-MARKS[0x80:] = False
-MARKS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 2**64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Bytes of text that are hashed at a time; bounds a worker's memory.
 CHUNK = 1 << 20
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]))
-        for i, base in enumerate((_BASE, _BASE_INV)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -131,34 +121,77 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK):
         a = b
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE):
+_HEADS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+_KEYS = mix64(np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span raw[start:end] of bytes; `lane` (0 or 1) picks one of two
+    independent ones.
+
+    A span is read in blocks of 8 bytes. Each block goes through a keyed bijective mix, is shifted
+    by a mix of its place and mixed again, so the sum over the blocks isn't linear in the bytes: no
+    choice of letters, such as a word and its complement, makes two words alike by construction."""
+    out = np.empty(len(start), np.uint64)
+    if not len(start):
+        return out
+    one, two = _KEYS[2 * lane], _KEYS[2 * lane + 1]
+    step = 1 << 17
+    for a in range(0, len(start), step):
+        s, n = start[a : a + step], end[a : a + step] - start[a : a + step]
+        low, high = int(s[0]), int(s[-1] + n[-1])
+        buffer = np.zeros(high - low + 8, np.uint8)
+        buffer[: high - low] = raw[low:high]
+        view = np.ndarray((high - low + 1,), "<u8", buffer, strides=(1,))
+        s = s - low
+        h = mix64((view[s] & _HEADS[np.minimum(n, 8)]) ^ one) + n.astype(np.uint64) * _KEYS[3]
+        long = np.flatnonzero(n > 8)
+        if len(long):
+            blocks = (n[long] + 7 >> 3) - 1
+            first = np.cumsum(blocks) - blocks
+            k = np.arange(int(blocks.sum())) - np.repeat(first, blocks) + 1
+            at = np.repeat(s[long], blocks) + 8 * k
+            left = np.minimum(np.repeat(s[long] + n[long], blocks) - at, 8)
+            mixed = mix64(mix64((view[at] & _HEADS[left]) ^ two) + mix64(k.astype(np.uint64)))
+            h[long] += np.add.reduceat(mixed, first)
+        out[a : a + step] = mix64(h ^ two)
+    return out
+
+
+def words(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE, lane: int = 0):
     """(hash, row, start, end) of each word of the rows in `raw`, words being runs of bytes
     that aren't in `gap` (by default white space, 0x20 and 0x09-0x0D).
 
-    A-Z are lowered for the hash. A word's hash depends on
-    its bytes alone, so the same word hashes alike in every row, batch and task."""
+    A-Z are lowered for the hash. A word's hash depends on its bytes alone, so the same word
+    hashes alike in every row, batch and task. Beside the result a few times CHUNK bytes are
+    held, however long a text is."""
     n = len(raw)
-    if not n:
+    starts, ends = [], []
+    for a in range(0, n, CHUNK):
+        b = min(a + CHUNK, n)
+        # One byte more at either side; a row's edge ends a word as well.
+        solid = np.zeros(b - a + 2, bool)
+        low = max(a - 1, 0)
+        solid[low - a + 1 : b - a + 1 + (b < n)] = ~gap[raw[low : b + (b < n)]]
+        edge = np.zeros(b - a + 1, bool)
+        i, j = np.searchsorted(offsets, (a, b + 1))
+        edge[offsets[i:j] - a] = True
+        own = solid[1:-1]
+        starts.append(np.flatnonzero(own & (~solid[:-2] | edge[:-1])) + a)
+        ends.append(np.flatnonzero(own & (~solid[2:] | edge[1:])) + a + 1)
+    if not n or not (size := sum(map(len, starts))):
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, z
-    solid = ~gap[raw]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = solid[:-1]
-    start = np.flatnonzero(solid & (~before | edge[:n]))
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = solid[1:]
-    end = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    row = np.searchsorted(offsets, start, side="right") - 1
-    power, inverse = _power(n + 1)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE_LOWER[raw] * power[:n], out=total[1:])
-    h = (total[end] - total[start]) * inverse[start]
-    return mix64(h + (end - start).astype(np.uint64)), row, start, end
+    start, end = np.concatenate(starts), np.concatenate(ends)
+    starts.clear(), ends.clear()
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
+    out = np.empty(size, np.uint64)
+    step = max(1, int(size * CHUNK / max(1, n)))
+    for a in range(0, size, step):
+        b = min(a + step, size)
+        part = LOWER[raw[start[a] : end[b - 1]]]
+        out[a:b] = hash_spans(part, start[a:b] - start[a], end[a:b] - start[a], lane)
+    return out, row, start, end
 
 
 _STEP = mix64(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)

@@ -29,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _power, chunks, mix64, partitions, scratch_path, text_or_empty
+from .common import chunks, hash_spans, partitions, qualified, scratch_path, text_or_empty
 
 MAGIC = b"SQTOK\x00\x00\x01"
-#: Distinct pre-tokens whose ids a worker keeps (about 30 bytes each); the table is emptied when
-#: it is full.
-CACHE = 2_000_000
+#: Distinct pre-tokens whose ids a worker keeps (about 50 bytes each), and characters of them; the
+#: table is emptied when it is full.
+CACHE, CACHE_CHARS = 2_000_000, 16 << 20
 #: Characters that are encoded at a time.
 CHARS = 1 << 18
 
@@ -45,7 +45,6 @@ _BEYOND = re.compile(r"[^\u0000-\u024f]")
 _CLASS = np.zeros(LIMIT, np.uint8)
 for _low, _high, _kind in ((0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xAA, 0xAA, 1), (0xB5, 0xB5, 1), (0xBA, 0xBA, 1), (0xC0, 0xD6, 1), (0xD8, 0xF6, 1), (0xF8, 0x24F, 1), (0x30, 0x39, 2), (0xB2, 0xB3, 2), (0xB9, 0xB9, 2), (0xBC, 0xBE, 2), (0x09, 0x0D, 3), (0x20, 0x20, 3), (0x85, 0x85, 3), (0xA0, 0xA0, 3)):
     _CLASS[_low : _high + 1] = _kind
-_VALUE = mix64(np.arange(1, LIMIT + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -104,10 +103,11 @@ class Encoder:
     """Encodes texts exactly as `Tokenizer.encode(text, add_special_tokens=False)` does.
 
     Byte-level BPE never merges across pre-tokens, so the ids of a text are those of its
-    pre-tokens. These are cut and hashed with array operations; each distinct one goes through
-    the library's model once and is kept. Texts with characters beyond U+024F or with an added
-    token go through the library whole, as do all texts of a tokenizer that isn't plain
-    byte-level BPE."""
+    pre-tokens. These are cut and looked up with array operations; each distinct one goes through
+    the library's model once and is kept with its characters. A lookup goes by hash and then
+    compares the characters of every piece, so a collision never gives another piece's ids: texts
+    with one go through the library whole. So do texts with characters beyond U+024F or with an
+    added token, and all texts of a tokenizer that isn't plain byte-level BPE."""
 
     def __init__(self, path: str, dtype: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -129,6 +129,7 @@ class Encoder:
     def _empty(self):
         self.key, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.at, self.flat = np.zeros(1, np.int64), np.zeros(0, self.dtype)
+        self.text_at, self.text = np.zeros(1, np.int64), np.zeros(0, np.uint16)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
@@ -141,6 +142,8 @@ class Encoder:
         rows = np.arange(len(self.at) - 1, len(self.at) - 1 + len(ids))
         self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(size)))
         self.flat = np.concatenate((self.flat, flat))
+        self.text_at = np.concatenate((self.text_at, self.text_at[-1] + np.cumsum([len(p) for p in pieces])))
+        self.text = np.concatenate((self.text, np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4").astype(np.uint16)))
         place = np.searchsorted(self.key, key)
         self.key, self.row = np.insert(self.key, place, key), np.insert(self.row, place, rows)
 
@@ -149,15 +152,13 @@ class Encoder:
         joined = "".join(texts)
         if not joined:
             return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
-        cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        cp = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.uint16)
         edge = np.cumsum([0, *map(len, texts)])
         start = piece_starts(cp, edge[:-1][np.diff(edge) > 0])
         end = np.append(start[1:], len(cp))
-        power, inverse = _power(len(cp) + 1)
-        total = np.concatenate(([np.uint64(0)], np.cumsum(_VALUE[cp] * power[: len(cp)])))
-        h = mix64((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+        h = hash_spans(cp.view(np.uint8), 2 * start, 2 * end)
         key, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.key) > CACHE:
+        if len(self.key) > CACHE or len(self.text) > CACHE_CHARS:
             self._empty()
         place = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
         new = self.key[place] != key if len(self.key) else np.ones(len(key), bool)
@@ -166,12 +167,22 @@ class Encoder:
             self._learn(key[new], [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
             place = np.searchsorted(self.key, key)
         row = self.row[place][back]
+        if not self._same(row, cp, start, end):
+            parts = [self._whole(t) for t in texts]
+            return np.concatenate(parts), np.asarray(list(map(len, parts)), np.int64)
         size = self.at[row + 1] - self.at[row]
         to = np.cumsum(size)
         ids = self.flat[np.repeat(self.at[row] - (to - size), size) + np.arange(to[-1])]
         reach = np.concatenate(([0], to))[np.searchsorted(start, edge)]
         return ids, np.diff(reach)
 
+    def _same(self, row: np.ndarray, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> bool:
+        """Whether the characters kept for each piece's row are the piece's own."""
+        size = end - start
+        if not np.array_equal(self.text_at[row + 1] - self.text_at[row], size):
+            return False
+        return np.array_equal(self.text[np.repeat(self.text_at[row] - start, size) + np.arange(len(cp))], cp)
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and each text's count."""
         joined = "".join(texts)
@@ -230,16 +241,26 @@ def _writer(folder: str, tokenizer: str, end_id: int, dtype: str):
     return write
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, vocabulary: int = 50_257, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
+def largest_id(tokenizer: str) -> int:
+    """The largest token id that a tokenizer file gives."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values(), default=0)
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Encode every row's whole text (null: empty), append `end_id`, and write the rows in
-    ascending `id_col` order (null first; equal ids by text) as token files under `folder`.
-    Returns the manifest's parts. An empty table gives no parts."""
-    spark = docs.sparkSession
-    dtype = "<u2" if max(vocabulary - 1, end_id) < 1 << 16 else "<u4"
+    ascending `id_col` order (null first; equal ids by their text's bytes, then its hash) as token
+    files under `folder`. Returns the manifest's parts. An empty table gives no parts. Ids take 2
+    bytes where the tokenizer's largest id and `end_id` fit, else 4."""
+    spark, folder = docs.sparkSession, qualified(docs.sparkSession, folder)
+    dtype = "<u2" if max(largest_id(tokenizer), end_id) < 1 << 16 else "<u4"
     fs, root = location(folder)
     fs.create_dir(root, recursive=True)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(f"`{text_col}`").alias("text"))
-    rows = rows.repartitionByRange(max(2, partitions(spark)), "id").sortWithinPartitions("id", "text")
+    # Length and hash split the rows of one id, or those without an id, over ranges too.
+    order = ["id", F.octet_length("text"), F.xxhash64("text")]
+    rows = rows.repartitionByRange(max(2, partitions(spark)), *order).sortWithinPartitions(*order, "text")
     found = rows.mapInArrow(_writer(folder, tokenizer, end_id, dtype), "part long, n_docs long, n_tokens long").collect()  # a row for each part
     base, parts = 0, []
     for r in sorted(found, key=lambda r: r["part"]):
@@ -291,6 +312,7 @@ def _reader(folder: str):
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files alone."""
+    folder = qualified(spark, folder)
     fs, root = location(folder)
     with fs.open_input_file(f"{root}/manifest.json") as f:
         parts = json.loads(f.read())["parts"]

@@ -69,3 +69,26 @@ def test_wide_ids_and_damage(spark, tmp_path):
         f.write(b"broken!!")
     with pytest.raises(ValueError):
         tf.open_part(folder, parts[0]["part"])
+
+
+def test_words_that_a_linear_hash_confuses(library):
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    ids, counts = tf.Encoder(PATH, "<u2")([a, b, f"{a} {b}"])
+    want = [library.encode(t, add_special_tokens=False).ids for t in (a, b, f"{a} {b}")]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def test_colliding_pieces_get_their_own_ids(library, monkeypatch):
+    monkeypatch.setattr(tf, "hash_spans", lambda raw, start, end: np.full(len(start), 7, np.uint64))
+    encode = tf.Encoder(PATH, "<u2")
+    texts = ["one two", "three", "", "two one"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        ids, counts = encode(texts)
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def test_id_width_follows_the_tokenizer(library):
+    assert tf.largest_id(PATH) == max(library.get_vocab().values())
