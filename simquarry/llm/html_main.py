@@ -18,23 +18,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+_MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])", re.I)
+_NAME = re.compile(r"[^\s/>]*+")
+_TAIL = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_ATTR = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+#: Tags whose quotes never close, from which on a page's tags end at their first ">".
+BROKEN = 8
 _PUNCT = re.compile(r"[.,;:!?…。，！？]")
 
 # Fixed values of HTML.
 #: Elements whose text is left out; those of raw text reach to the page's end if nothing closes them.
 RAW = frozenset("script style textarea title".split())
 SKIPPED = RAW | frozenset("noscript template iframe select".split())
-_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in SKIPPED}
+_CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>?", re.I) for t in SKIPPED}
 #: Elements that "/>" closes, whatever they are.
 FOREIGN = frozenset("svg math iframe object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var svg math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics".split())
+#: Void elements that part blocks; a block runs on across the others.
+BREAKS = frozenset("br hr".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big blink canvas cite code data del dfn em font i ins kbd label map mark meter nobr output picture progress q rb rtc ruby rp rt s samp slot small span strike strong sub sup time tt u var video svg math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
@@ -51,13 +53,6 @@ WEAK, STRONG, BY_TAG = 1, 2, 3
 THRESHOLD = 0.25
 
 
-class Block:
-    __slots__ = ("text", "path", "nodes", "linked", "marks")
-
-    def __init__(self, text: str, path: tuple, nodes: tuple, linked: int, marks: tuple = ()):
-        self.text, self.path, self.nodes, self.linked, self.marks = text, path, nodes, linked, marks
-
-
 def _name_mark(name: str, inside: bool) -> int:
     """How sure one whole class token, id, role or label is to name boilerplate."""
     found = _WORD.findall(name)
@@ -68,11 +63,10 @@ def _name_mark(name: str, inside: bool) -> int:
     return STRONG if names else WEAK
 
 
-def _mark(tag: str, attrs: str, stack: list) -> int:
+def _mark(tag: str, attrs: str, inside: bool) -> int:
     """0, or how sure an element is to be boilerplate: WEAK or STRONG by name, or BY_TAG."""
     if tag in BOILERPLATE_TAGS:
         return BY_TAG
-    inside = any(s[0] in ("article", "main") for s in stack)
     if tag == "header":
         return 0 if inside else BY_TAG
     if tag in ("html", "body", "main", "article") or "=" not in attrs:
@@ -87,181 +81,270 @@ def _mark(tag: str, attrs: str, stack: list) -> int:
     return out
 
 
-def blocks(html: str) -> list[Block]:
-    """The page's text blocks in order, without scripts, styles, titles and comments."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, node number, mark
-    pieces: list[str] = []
-    linked = 0
-    made = 0
-    owner: tuple | None = None
-
-    def flush():
-        nonlocal linked, owner
-        if pieces:
-            text = " ".join("".join(pieces).split())
-            if text and owner is not None:
-                path, nodes, marks = owner
-                out.append(Block(text, path, nodes, linked, marks))
-            pieces.clear()
-        linked, owner = 0, None
-
-    def add(raw: str):
-        nonlocal linked, owner
+class Block:
+    __slots__ = ("page", "text", "node", "linked")
+
+    def __init__(self, page: Page, text: str, node: int, linked: int):
+        self.page, self.text, self.node, self.linked = page, text, node, linked
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """The root-to-leaf tag path, without inline elements."""
+        out, p = [], self.page.path[self.node]
+        while p:
+            p, tag = self.page.paths[p]
+            out.append(tag)
+        return tuple(reversed(out))
+
+
+class Page:
+    """A page's elements, in the order they open, and its text blocks without scripts, styles,
+    titles and comments.
+
+    Element 0 is the page itself. An element has its parent, tag and mark, the number of its tag
+    path, the nearest element around it (or itself) that isn't inline, and the last element
+    inside it; elements inside n are therefore n to last[n]. All lists grow by one entry an
+    element, whatever the depth, and every step of the reader is proportional to what it reads or
+    to the elements that it closes."""
+
+    def __init__(self, html: str):
+        self.parent, self.tag, self.mark, self.path, self.outer, self.inside = [0], [""], [0], [0], [0], [False]
+        self.paths: list[tuple[int, str]] = [(0, "")]
+        self._known: dict[tuple[int, str], int] = {}
+        self.blocks: list[Block] = []
+        self._stack: list[int] = []
+        self._at: dict[str, list[int]] = defaultdict(list)  # places of open elements in the stack
+        self._solid: list[int] = []  # places of those that aren't inline
+        self._pieces: list[str] = []
+        self._linked, self._owner = 0, -1
+        self._read(html)
+        self.last = list(range(len(self.tag)))
+        for n in range(len(self.tag) - 1, 0, -1):
+            up = self.parent[n]
+            self.last[up] = max(self.last[up], self.last[n])
+
+    def _flush(self) -> None:
+        if self._pieces:
+            text = " ".join("".join(self._pieces).split())
+            if text and self._owner >= 0:
+                self.blocks.append(Block(self, text, self._owner, self._linked))
+            self._pieces.clear()
+        self._linked, self._owner = 0, -1
+
+    def _text(self, raw: str) -> None:
         if not raw:
             return
         text = unescape(raw) if "&" in raw else raw
-        pieces.append(text)
-        if owner is None and not text.isspace():
-            outer = [s for s in stack if s[0] not in INLINE]
-            # Inline elements count where a block lies in them.
-            marks = tuple((s[1], s[2]) for s in stack if s[2] and s[1] <= outer[-1][1]) if outer else ()
-            owner = tuple(s[0] for s in outer), tuple(s[1] for s in outer), marks
-        if any(s[0] == "a" for s in stack):
-            linked += len(text)
-
-    def pop(i: int):
-        if any(s[0] not in INLINE for s in stack[i:]):
-            flush()
-        del stack[i:]
-
-    def close_p():
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == "p":
-                return pop(i)
-            if stack[i][0] not in INLINE:
-                return None
-        return None
-
-    at = 0
-    unclosed: set[str] = set()
-    while m := _TOKEN.search(html, at):
-        add(html[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
-            continue
-        tag = tag.lower()
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
+        self._pieces.append(text)
+        if self._owner < 0 and not text.isspace():
+            self._owner = self._stack[self._solid[-1]] if self._solid else 0
+        if self._at["a"]:
+            self._linked += len(text)
+
+    def _pop(self, place: int) -> None:
+        """Closes the open elements from this place of the stack on."""
+        if self._solid and self._solid[-1] >= place:
+            self._flush()
+        while len(self._stack) > place:
+            tag = self.tag[self._stack.pop()]
+            self._at[tag].pop()
+            if tag not in INLINE:
+                self._solid.pop()
+
+    def _push(self, tag: str, attrs: str) -> None:
+        up, n = self._stack[-1] if self._stack else 0, len(self.tag)
+        inside = self.inside[up]
+        self.parent.append(up)
+        self.tag.append(tag)
+        self.mark.append(_mark(tag, attrs, inside))
+        self.inside.append(inside or tag in ("article", "main"))
+        self._at[tag].append(len(self._stack))
+        if tag in INLINE:
+            self.path.append(self.path[up])
+            self.outer.append(self.outer[up])
+        else:
+            key = self.path[up], tag
+            if key not in self._known:
+                self._known[key] = len(self.paths)
+                self.paths.append(key)
+            self.path.append(self._known[key])
+            self.outer.append(n)
+            self._solid.append(len(self._stack))
+        self._stack.append(n)
+
+    def _last_open(self, tags) -> int:
+        return max((self._at[t][-1] for t in tags if self._at[t]), default=-1)
+
+    def _close(self, tag: str) -> None:
+        place = self._at[tag][-1] if self._at[tag] else -1
+        if tag in INLINE:
+            # An inline end tag doesn't reach out of the block that it stands in.
+            if place >= 0 and (not self._solid or place > self._solid[-1]):
+                self._pop(place)
+        elif place >= 0:
+            self._pop(place)
+        else:
+            self._flush()
+
+    def _open(self, tag: str, attrs: str, empty: bool) -> None:
+        if tag in CLOSES_P and self._solid and self.tag[self._stack[self._solid[-1]]] == "p":
+            self._pop(self._solid[-1])
+        if tag in SIBLING:
+            place = self._last_open(SIBLING[tag])
+            if place > self._last_open(STOPS.get(tag, ("table",))):
+                self._pop(place)
+        if tag in BREAKS or tag not in INLINE and tag not in VOID:
+            self._flush()
+        if not (tag in VOID or empty and (tag in FOREIGN or tag not in CLOSES_P and tag not in INLINE)):
+            self._push(tag, attrs)
+
+    def _read(self, html: str) -> None:
+        at, broken, unclosed = 0, 0, set()
+        while m := _MARKUP.search(html, at):
+            self._text(html[at : m.start()])
+            at, lead = m.end(), m[0]
+            if lead == "<!--":
+                end = at if html.startswith((">", "->"), at) else html.find("-->", at)
+                at = len(html) if end < 0 else html.index(">", end) + 1
+            elif lead.startswith("<![") or lead.startswith("<!") or lead.startswith("<?"):
+                raw = len(lead) > 2
+                end = html.find("]]>" if raw else ">", at)
+                if raw:
+                    self._text(html[at : end if end >= 0 else len(html)].replace("&", "&amp;"))
+                at = len(html) if end < 0 else end + (3 if raw else 1)
             else:
-                if tag not in INLINE:
-                    flush()
-            continue
-        empty = m[3].endswith("/")
-        if tag in SKIPPED:
-            if empty and (tag in FOREIGN or any(s[0] in ("svg", "math") for s in stack)):
-                continue
-            end = None if tag in unclosed else _CLOSE[tag].search(html, at)
-            if end or tag in RAW:
-                at = end.end() if end else len(html)
-                continue
-            unclosed.add(tag)
-        if tag in CLOSES_P:
-            close_p()
-        for i in range(len(stack) - 1, -1, -1):
-            if tag not in SIBLING or stack[i][0] in STOPS.get(tag, ("table",)):
-                break
-            if stack[i][0] in SIBLING[tag]:
-                pop(i)
-                break
-        if tag not in INLINE:
-            flush()
-        if tag in VOID or empty and (tag in FOREIGN or tag not in CLOSES_P and tag not in INLINE):
-            continue
-        made += 1
-        stack.append((tag, made, _mark(tag, m[3], stack)))
-    add(html[at:].partition("<")[0] if re.match(r"[^<]*<[/a-zA-Z!][^>]*\Z", html[at:], re.S) else html[at:])
-    flush()
-    return out
+                closing = lead[1] == "/"
+                name = _NAME.match(html, at - 1)
+                tail = _TAIL.match(html, name.end()) if broken < BROKEN else None
+                if tail is None:
+                    # A quote that never closes, or no ">" at all: an unfinished tag ends the page.
+                    broken += 1
+                    end = html.find(">", name.end())
+                    if end < 0:
+                        at = len(html)
+                        break
+                    attrs, at = html[name.end() : end], end + 1
+                else:
+                    attrs, at = tail[0][:-1], tail.end()
+                tag = name[0].lower()
+                if closing:
+                    self._close(tag)
+                    continue
+                empty = attrs.endswith("/")
+                if tag in SKIPPED:
+                    if empty and (tag in FOREIGN or self._at["svg"] or self._at["math"]):
+                        continue
+                    end = None if tag in unclosed else _CLOSE[tag].search(html, at)
+                    if end or tag in RAW:
+                        at = end.end() if end else len(html)
+                        continue
+                    unclosed.add(tag)
+                self._open(tag, attrs, empty)
+        self._text(html[at:])
+        self._flush()
 
 
-def path_scores(found: list[Block]) -> dict[tuple, float]:
+def blocks(html: str) -> list[Block]:
+    return Page(html).blocks
+
+
+def path_scores(page: Page, found: list[Block]) -> dict[int, float]:
     """The fused ratio of each tag path."""
     length, punct, nodes, links = defaultdict(int), defaultdict(int), defaultdict(set), defaultdict(int)
     for b in found:
-        length[b.path] += len(b.text)
-        punct[b.path] += len(_PUNCT.findall(b.text))
-        nodes[b.path].add(b.nodes)
-        links[b.path] += b.linked
+        p = page.path[b.node]
+        length[p] += len(b.text)
+        punct[p] += len(_PUNCT.findall(b.text))
+        nodes[p].add(b.node)
+        links[p] += b.linked
     text_ratio = {p: length[p] / len(nodes[p]) for p in length}
     punct_ratio = {p: punct[p] / len(nodes[p]) for p in length}
     family = defaultdict(list)
     for p in length:
-        family[p[:-1]].append(p)
+        family[page.paths[p][0] if p else -1].append(p)
     out = {}
-    for p in length:
-        kin = family[p[:-1]]
-        smooth = lambda r: 0.5 * r[p] + 0.5 * sum(r[q] for q in kin) / len(kin)
-        fused = (smooth(text_ratio) * (1 + smooth(punct_ratio))) ** 0.5
-        out[p] = fused * max(0.0, 1 - links[p] / max(1, length[p])) * len(nodes[p]) ** 0.5
+    for kin in family.values():
+        mean = [sum(r[q] for q in kin) / len(kin) for r in (text_ratio, punct_ratio)]
+        for p in kin:
+            fused = ((0.5 * text_ratio[p] + 0.5 * mean[0]) * (1 + 0.5 * punct_ratio[p] + 0.5 * mean[1])) ** 0.5
+            out[p] = fused * max(0.0, 1 - links[p] / max(1, length[p])) * len(nodes[p]) ** 0.5
     return out
 
 
-def content_blocks(found: list[Block]) -> list[Block]:
-    """The blocks outside boilerplate, with those under a weak name. A name doesn't count on an
-    element that holds the page's main or largest article element or, on pages without one
-    beside it, most of the page's text."""
-    seen = [b for b in found if all(mark != BY_TAG for _, mark in b.marks)]
-    size: dict[int, int] = defaultdict(int)
-    articles: dict[int, str] = {}
-    around: dict[int, set] = defaultdict(set)  # article elements in or around a marked one
-    for b in seen:
-        own = {n: t for n, t in zip(b.nodes, b.path, strict=True) if t in ("article", "main")}
-        articles.update(own)
-        for n in {*own, *(n for n, _ in b.marks)}:
-            size[n] += len(b.text)
-        for n, _ in b.marks:
-            around[n].update(own)
-    total = sum(len(b.text) for b in seen)
-    top = max(articles, key=lambda n: (articles[n] == "main", size[n], -n), default=-1)
-    exempt = {n for n, own in around.items() if n < top and top in own or 2 * size[n] > total and len(own) == len(articles)}
-    out = []
+def content_blocks(page: Page) -> tuple[list[Block], list[int]]:
+    """The blocks outside boilerplate, with those under a weak name, and each element's mark, its
+    own or one around it. A name doesn't count on an element that holds the page's main or largest
+    article element or, on pages without one beside it, most of the page's text."""
+    n_nodes, up = len(page.tag), page.parent
+    by_tag = [m == BY_TAG for m in page.mark]
+    for n in range(1, n_nodes):
+        by_tag[n] = by_tag[n] or by_tag[up[n]]
+    seen = [b for b in page.blocks if not by_tag[b.node]]
+    size, held, above = [0] * n_nodes, [0] * n_nodes, [0] * n_nodes
     for b in seen:
-        marks = tuple((n, mark) for n, mark in b.marks if n not in exempt)
-        if all(mark == WEAK for _, mark in marks):
-            out.append(Block(b.text, b.path, b.nodes, b.linked, marks))
-    return out
+        size[b.node] += len(b.text)
+    for n in range(n_nodes - 1, 0, -1):
+        size[up[n]] += size[n]
+    articles = [n for n in range(1, n_nodes) if page.tag[n] in ("article", "main") and size[n]]
+    for n in articles:
+        held[n] = 1
+    for n in range(n_nodes - 1, 0, -1):
+        held[up[n]] += held[n]
+    own = set(articles)
+    for n in range(1, n_nodes):
+        above[n] = above[up[n]] + (up[n] in own)
+    top = max(articles, key=lambda n: (page.tag[n] == "main", size[n], -n), default=-1)
+    marks = list(page.mark)
+    for n in range(1, n_nodes):
+        if marks[n] and (n < top <= page.last[n] or 2 * size[n] > size[0] and above[n] + held[n] == len(articles)):
+            marks[n] = 0
+        marks[n] = max(marks[n], marks[up[n]])
+    return [b for b in seen if marks[b.node] <= WEAK], marks
+
+
+def _common(page: Page, nodes: list[int]) -> int:
+    """The deepest element that isn't inline and holds all of them: that of the first and the
+    last one, as elements inside another follow it directly."""
+    low, high = min(nodes), max(nodes)
+    while low and page.last[low] < high:
+        low = page.parent[low]
+    return page.outer[low]
 
 
 def main_text(html: str | None) -> str:
     """The main text of one page; empty where there is none."""
-    content = content_blocks(blocks(html or ""))
+    page = Page(html or "")
+    content, marks = content_blocks(page)
     if not content:
         return ""
-    scores = path_scores(content)
+    scores = path_scores(page, content)
     top = max(scores.values())
-    chosen = [b for b in content if scores[b.path] >= THRESHOLD * top] or content
-    picked = {id(b) for b in chosen}
-    content = [b for b in content if not b.marks or id(b) in picked and 2 * b.linked < len(b.text)]
+    picked = {p for p, x in scores.items() if x >= THRESHOLD * top}
+    is_picked = lambda b: page.path[b.node] in picked
+    content = [b for b in content if not marks[b.node] or is_picked(b) and 2 * b.linked < len(b.text)]
     if not content:
         return ""
-    chosen = [b for b in content if id(b) in picked] or content
+    chosen = [b for b in content if is_picked(b)] or content
+    headed = [False] * len(page.tag)
+    for n in range(1, len(page.tag)):
+        headed[n] = page.tag[n] == "h1" or headed[page.parent[n]]
     # The content node: the deepest element that holds every block but those made of links, or the
     # nearest article or main element around it. Where one main element holds all selected
     # text, other text outside it than headlines doesn't count.
-    firm = [b for b in content if 2 * b.linked < len(b.text) or "h1" in b.path] or content
-    mains = set.intersection(*({n for n, t in zip(b.nodes, b.path, strict=True) if t == "main"} for b in chosen))
-    firm = [b for b in firm if not mains or mains & set(b.nodes) or "h1" in b.path] or content
-    nodes, path = firm[0].nodes, firm[0].path
-    for b in firm:
-        k = next((k for k, (x, y) in enumerate(zip(nodes, b.nodes, strict=False)) if x != y), min(len(nodes), len(b.nodes)))
-        nodes, path = nodes[:k], path[:k]
-    for k, tag in enumerate(path):
-        if tag in ("article", "main") and "article" not in path[k + 1 :]:
-            nodes, path = nodes[: k + 1], path[: k + 1]
-            break
+    firm = [b for b in content if 2 * b.linked < len(b.text) or headed[b.node]] or content
+    around, at = 0, _common(page, [b.node for b in chosen])
+    while at:
+        around, at = at if page.tag[at] == "main" else around, page.parent[at]
+    firm = [b for b in firm if around <= b.node <= page.last[around] or headed[b.node]] or content
+    node = _common(page, [b.node for b in firm])
+    at, main, article = node, 0, 0
+    while at and not article:
+        article, main, at = at if page.tag[at] == "article" else 0, at if page.tag[at] == "main" else main, page.parent[at]
+    node = article or main or node
     # A content node that is itself one paragraph widens to its parent.
-    if path and path[-1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "td"):
-        nodes = nodes[:-1]
-    return " ".join(b.text for b in content if not nodes or nodes[-1] in b.nodes)
+    if page.tag[node] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "td"):
+        node = page.outer[page.parent[node]]
+    return " ".join(b.text for b in content if node <= b.node <= page.last[node])
 
 
 def extract_main(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -88,3 +88,133 @@ def test_columns_and_long_pages(spark):
     out = extract_main(spark.createDataFrame(rows, "page_id long, url string, html string, TEXT int")).collect()
     assert {r["n_chars"] for r in out} == {len(P) * 5000, 0}
     assert extract_main(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+@pytest.mark.parametrize("body,text", [("super<wbr>cali", "supercali"), ("foo<img src=x>bar", "foobar"), ("a<br>b", "a b"), ("a<hr/>b", "a b"), ("x<input>y", "xy"), ("<div class='legal-history'>Kept.</div>", "Kept."), ("<section class='search-algorithms'>Kept.</section>", "Kept."), ("<math><mi>x</mi></math>", "x"), ("<!-->a<!-- b --->c", "ac"), ('<a href="x>y</a> z', "y z")])
+def test_inside_an_article(body, text):
+    assert main_text(f"<article><p>{P}</p><div>{body}</div></article>") == f"{P} {text}"
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 300_000, "<" * 300_000, '<a href="' * 100_001 + ">", '<a "> ' * 100_001, "<div>" * 200_000 + "x", "<div>x" * 50_000, "<b>" * 100_000 + "<div>y" * 20_000, "</i>" * 200_000 + "z",
+    "<div><i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "<li>" * 100_000, "<div class=ad>" * 100_000 + "t", "<iframe>" * 100_000, "<!--" * 100_000, "<![CDATA[" * 50_000, "<p a" + "a" * 300_000 + " b=1>x", "<p " + "a=' " * 100_001 + ">x", "&amp" * 100_000,
+])
+def test_malformed_and_deep_pages_take_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - began < 5
+
+
+# ---------------------------------------------------------------- the method, plainly
+
+
+def plain_blocks(tree, path=(), out=None, count=None):
+    """(text, path, nodes, linked, marks) of a tree (tag, attributes, mark, children)."""
+    out, count = [] if out is None else out, count or iter(range(1, 10**6))
+
+    def walk(node, path, nodes, marks):
+        tag, _, mark, children = node
+        n = next(count)
+        path, nodes, marks = (*path, tag), (*nodes, n), (*marks, (n, mark)) if mark else marks
+        for child in children:
+            if isinstance(child, str):
+                out.append((child, path, nodes, 0, marks))
+            elif child[0] == "a":
+                out.append((child[3][0], path, nodes, len(child[3][0]), marks))
+                next(count)
+            else:
+                walk(child, path, nodes, marks)
+
+    walk(tree, (), (), ())
+    return out
+
+
+def plain_main(found):
+    """The method by its definition, on tuples and sets."""
+    from simquarry.llm import html_main as hm
+
+    seen = [b for b in found if all(m != hm.BY_TAG for _, m in b[4])]
+    articles, size = {}, {}
+    for text, path, nodes, _, marks in seen:
+        for n, t in zip(nodes, path, strict=True):
+            size[n] = size.get(n, 0) + len(text)
+            if t in ("article", "main"):
+                articles[n] = t
+    total = sum(len(b[0]) for b in seen)
+    top = max(articles, key=lambda n: (articles[n] == "main", size[n], -n), default=-1)
+    marked = {n for b in seen for n, _ in b[4]}
+    around = {n: {a for b in seen if n in b[2] for a in b[2] if a in articles} for n in marked}
+    exempt = {n for n in marked if n < top and top in around[n] or 2 * size[n] > total and len(around[n]) == len(articles)}
+    content = [(*b[:4], tuple(m for m in b[4] if m[0] not in exempt)) for b in seen]
+    content = [b for b in content if all(m == hm.WEAK for _, m in b[4])]
+    if not content:
+        return ""
+    stat = {}
+    for p in {b[1] for b in content}:
+        own = [b for b in content if b[1] == p]
+        n = len({b[2] for b in own})
+        stat[p] = sum(len(b[0]) for b in own) / n, sum(len(re.findall(r"[.,;:!?…。，！？]", b[0])) for b in own) / n, n, sum(b[3] for b in own) / sum(len(b[0]) for b in own)
+    score = {}
+    for p, (length, punct, n, links) in stat.items():
+        kin = [stat[q] for q in stat if q[:-1] == p[:-1]]
+        fused = (0.5 * length + 0.5 * sum(k[0] for k in kin) / len(kin)) * (1 + 0.5 * punct + 0.5 * sum(k[1] for k in kin) / len(kin))
+        score[p] = fused**0.5 * max(0.0, 1 - links) * n**0.5
+    limit = hm.THRESHOLD * max(score.values())
+    content = [b for b in content if not b[4] or score[b[1]] >= limit and 2 * b[3] < len(b[0])]
+    if not content:
+        return ""
+    chosen = [b for b in content if score[b[1]] >= limit] or content
+    firm = [b for b in content if 2 * b[3] < len(b[0]) or "h1" in b[1]] or content
+    mains = set.intersection(*({n for n, t in zip(b[2], b[1], strict=True) if t == "main"} for b in chosen))
+    firm = [b for b in firm if not mains or mains & set(b[2]) or "h1" in b[1]] or content
+    shared = [x for x in zip(*(zip(b[2], b[1], strict=True) for b in firm), strict=False) if len(set(x)) == 1]
+    nodes, path = [x[0][0] for x in shared], [x[0][1] for x in shared]
+    for k, tag in enumerate(path):
+        if tag in ("article", "main") and "article" not in path[k + 1 :]:
+            nodes, path = nodes[: k + 1], path[: k + 1]
+            break
+    if path and path[-1] in ("p", "h1", "h2", "pre", "blockquote", "li", "td"):
+        nodes = nodes[:-1]
+    return " ".join(b[0] for b in content if not nodes or nodes[-1] in b[2])
+
+
+def random_tree(rng, depth=0):
+    from simquarry.llm import html_main as hm
+
+    tag = "body" if not depth else rng.choice(["div", "div", "section", "article", "main", "nav", "aside", "ul", "table", "span"])
+    tag = "div" if tag == "span" else tag
+    name, mark = rng.choice([("", 0)] * 6 + [("class=sidebar", hm.STRONG), ("id=comments", hm.STRONG), ("class='x notice'", hm.WEAK), ("class=share", hm.WEAK)])
+    if tag in ("nav", "aside"):
+        mark = hm.BY_TAG
+    elif tag in ("body", "main", "article"):
+        mark = 0
+    children = []
+    for _ in range(rng.randrange(1, 5)):
+        words = " ".join(rng.choice(["one", "two,", "three.", "four!"]) for _ in range(rng.choice([1, 5, 40])))
+        leaf = {"ul": "li", "table": "caption"}.get(tag) or rng.choice(["p", "p", "h1", "h2", "pre", "div"])
+        if depth < 4 and tag not in ("ul", "table") and rng.random() < 0.5:
+            children.append(random_tree(rng, depth + 1))
+        elif rng.random() < 0.25:
+            children.append((leaf, "", 0, [("a", "", 0, [words])]))
+        else:
+            children.append((leaf, "", 0, [words]))
+    return tag, name, mark, children
+
+
+def render(node):
+    return node if isinstance(node, str) else f"<{node[0]} {node[1]}>{''.join(map(render, node[3]))}</{node[0]}>"
+
+
+def test_equals_the_plain_method():
+    import random
+
+    rng = random.Random(11)
+    some = 0
+    for _ in range(1500):
+        tree = random_tree(rng)
+        want = plain_main(plain_blocks(tree))
+        assert main_text(render(tree)) == want, render(tree)
+        some += bool(want)
+    assert some > 1000
