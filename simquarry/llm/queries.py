@@ -58,16 +58,20 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With `near_found` (long): for documents whose id is divisible by 50, how many other
-    documents have a fingerprint within 3 bits; null for the rest."""
+    """With, for documents whose id is divisible by 50 (null for the rest), `near_fingerprints`:
+    the other documents' fingerprints within 3 bits, itself where others share it; a document's own
+    fingerprint tells which of these it belongs to. `near_found` (long) counts their documents."""
     made = materialise(simhash.with_edits(_table(spark, sf_dir, "documents")), "simhash")
-    bits = lambda df: df.select(F.conv("fingerprint", 16, -10).cast("long").alias("fingerprint"))
+    bits = lambda c: F.conv(c, 16, -10).cast("long")
     asked = made.where("doc_id % 50 = 0")
-    near = simhash.within_radius(bits(made), bits(asked))
-    held = made.groupBy(F.conv("fingerprint", 16, -10).cast("long").alias("fingerprint")).agg(F.count("*").alias("docs"))
-    found = near.join(held, "fingerprint").groupBy("query").agg((F.sum("docs") - 1).alias("near_found"))
-    found = asked.select("doc_id", F.conv("fingerprint", 16, -10).cast("long").alias("query")).join(found, "query").select(F.col("doc_id").alias("asked_id"), "near_found")
-    return made.join(found, F.col("doc_id") == F.col("asked_id"), "left").drop("asked_id")
+    near = simhash.within_radius(made.select(bits("fingerprint").alias("fingerprint")), asked.select(bits("fingerprint").alias("fingerprint")))
+    held = made.groupBy(bits("fingerprint").alias("fingerprint")).agg(F.count("*").alias("docs"))
+    # At most C(64, 0) + ... + C(64, 3) = 43,745 fingerprints are that near to one.
+    others = near.join(held, "fingerprint").withColumn("docs", F.col("docs") - (F.col("fingerprint") == F.col("query")).cast("long")).where("docs > 0")
+    found = others.groupBy("query").agg(F.sum("docs").alias("near_found"), F.array_sort(F.collect_list(F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))).alias("near_fingerprints"))
+    asked = asked.withColumn("query", bits("fingerprint")).join(found, "query", "left").drop("query")
+    asked = asked.withColumns({"near_found": F.coalesce("near_found", F.lit(0)), "near_fingerprints": F.coalesce("near_fingerprints", F.array().cast("array<string>"))})
+    return asked.unionByName(made.where("doc_id is null or doc_id % 50 <> 0"), allowMissingColumns=True)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """SimHash fingerprints and a Hamming-radius search over permuted block tables.
 
-A text's terms are its three-word shingles (fewer words: the whole sequence). Each occurrence
+A text's terms are its five-word shingles (fewer words: the whole sequence). Each occurrence
 of a term votes with an integer weight, the bit length of its bytes, on every bit of the
 term's 64-bit hash: plus where the bit is 1, minus where it is 0. A fingerprint bit is 1 where
 the votes are positive. Word hashes come from bytes alone with A-Z lowered, so equal texts
@@ -22,7 +22,11 @@ from pyspark.sql import functions as F
 from .common import chunks, partitions, shingles, text_buffer, text_or_empty, words
 
 BITS = 64
-TERM_WORDS = 3
+TERM_WORDS = 5
+#: Terms whose votes are spread out at a time (64 small integers each).
+SLICE = 1 << 15
+#: Keys sampled for each range of a table.
+SAMPLE = 200
 
 
 def simhash(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -44,14 +48,17 @@ def simhash(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         i = first[where] + k
         last = np.minimum(i + TERM_WORDS, first[where + 1]) - 1
         weight = np.frexp((end[last] - start[i]).astype(float))[1].astype(np.int16)
-        signs = np.unpackbits(term[:, None].view(np.uint8), axis=1, bitorder="little").astype(np.int16)
-        signs += signs
-        signs -= 1
-        signs *= weight[:, None]
-        has = np.flatnonzero(terms)
-        votes = np.add.reduceat(signs, begin[has], axis=0, dtype=np.int64)
+        votes = np.zeros((n, BITS), np.int64)
+        for x in range(0, len(term), SLICE):
+            part_of = where[x : x + SLICE]
+            signs = np.unpackbits(term[x : x + SLICE, None].view(np.uint8), axis=1, bitorder="little").astype(np.int16)
+            signs += signs
+            signs -= 1
+            signs *= weight[x : x + SLICE, None]
+            cut = np.flatnonzero(np.diff(part_of, prepend=-1))
+            votes[part_of[cut]] += np.add.reduceat(signs, cut, axis=0, dtype=np.int64)
         bits = np.packbits(votes > 0, axis=1, bitorder="little")
-        out[a + has] = bits.view(np.uint64)[:, 0]
+        out[a:b] = bits.view(np.uint64)[:, 0]
     return out
 
 
@@ -87,39 +94,45 @@ def edit(text: str, following: str) -> str:
 def with_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Documents go in ascending doc_id order (null first, equal ids by text); the one after the
-    last is the first. One range shuffle brings each text to its neighbours: a range's first
-    document also goes to the range before it. Null texts count as empty; one document alone
-    is its own next; an empty table gives an empty result."""
+    Documents go in ascending doc_id order (null first, equal ids by a hash of the text, then by the
+    text); the one after the last is the first. One range shuffle brings each text to its
+    neighbours: a range's first document also goes to the range before it. Ranges are cut by id and
+    hash, so one id, or null, that many rows share is cut as well; only equal rows stay together.
+    Null texts count as empty; one document alone is its own next; an empty table gives an empty
+    result."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("h", F.xxhash64("text"))
     n = max(2, partitions(spark))
-    cuts = [i / n for i in range(1, n)]
-    got = rows.agg(F.min("doc_id").alias("low"), F.percentile_approx("doc_id", F.array(*map(F.lit, cuts)), 10_000).alias("cuts"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
-    # The ranges' first ids: quantiles are ids that occur, so each range has its first document.
-    start = np.array(sorted(x for x in set(got["cuts"] or ()) if got["nulls"] or x != got["low"]), np.int64)
-    first = None if got["nulls"] else got["low"]
+    # The ranges' first rows come from a bounded sample of keys, which only shapes the ranges.
+    key = F.struct(F.col("doc_id").isNotNull().alias("z"), F.coalesce("doc_id", F.lit(0)).alias("i"), "h")
+    whole = rows.agg(F.count("*").alias("n"), F.min(key).alias("least")).first()
+    drawn = rows.where(F.rand(17) < min(1.0, SAMPLE * n / max(1, whole["n"]))).select(key.alias("k")).select("k.*").collect()
+    least = whole["least"]
+    kind = np.dtype([("z", "?"), ("i", "<i8"), ("h", "<i8")])
+    drawn = np.sort(np.array([tuple(r) for r in drawn], kind))
+    start = np.unique(drawn[[len(drawn) * i // n for i in range(1, n)]]) if len(drawn) else drawn
+    first = np.array([tuple(least)] if least else [], kind)
+    start = start[start != first] if len(first) else start
     ranges = len(start) + 1
 
     def deal(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            null = np.asarray(ids.is_null())
-            key = np.asarray(ids.fill_null(0))
-            place = np.where(null, 0, np.searchsorted(start, key, side="right"))
-            opens = ~null & (place > 0)
-            opens[opens] = start[place[opens] - 1] == key[opens]
-            opens |= null if first is None else ~null & (key == first)
+            key = np.empty(len(ids), kind)
+            key["z"], key["i"], key["h"] = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0)), np.asarray(batch.column(2))
+            place = np.searchsorted(start, key, side="right")
+            opens = key == first if len(first) else np.zeros(len(key), bool)
+            opens[place > 0] |= start[place[place > 0] - 1] == key[place > 0]
             more = np.flatnonzero(opens)
-            take = pa.array(np.concatenate((np.arange(len(key)), more)))
+            take = pa.array(np.concatenate((np.arange(len(ids)), more)))
             to = np.concatenate((place, (place[more] - 1) % ranges)).astype(np.int32)
             extra = np.zeros(len(to), bool)
-            extra[len(key) :] = True
+            extra[len(ids) :] = True
             # Long texts: a few MB a batch.
             size = np.concatenate(([0], np.cumsum(pc.binary_length(texts.take(take)).to_numpy())))
             for a, b in chunks(size, 4 << 20):
                 part = take[a:b]
-                yield pa.RecordBatch.from_arrays([pa.array(to[a:b]), pa.array(extra[a:b]), ids.take(part), texts.take(part).cast(pa.string())], ["place", "extra", "doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(to[a:b]), pa.array(extra[a:b]), ids.take(part), texts.take(part).cast(pa.string()), batch.column(2).take(part)], ["place", "extra", "doc_id", "text", "h"])
 
     def scan(batches):
         held: list[tuple] = []  # the last row, which waits for the next text
@@ -155,21 +168,33 @@ def with_edits(docs: DataFrame) -> DataFrame:
                 held = held[-1:]
 
     CHARS = 2 << 20
-    dealt = rows.mapInArrow(deal, "place int, extra boolean, doc_id long, text string")
-    sorted_ = dealt.repartitionById(ranges, F.col("place")).sortWithinPartitions("extra", "doc_id", "text")
+    dealt = rows.mapInArrow(deal, "place int, extra boolean, doc_id long, text string, h long")
+    sorted_ = dealt.repartitionById(ranges, F.col("place")).sortWithinPartitions("extra", "doc_id", "h", "text")
     return sorted_.mapInArrow(scan, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 # ---------------------------------------------------------------- search
 
 
-def within_radius(fps: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
+def table_blocks(n: int, radius: int) -> int:
+    """Blocks whose tables have keys of 4 bits more than n fingerprints need to be told apart, so
+    that chance matches of a query stay few however many fingerprints there are."""
+    blocks = radius + 1
+    while blocks < BITS and BITS * (blocks - radius) // blocks < n.bit_length() + 4:
+        blocks += 1
+    return blocks
+
+
+def within_radius(fps: DataFrame, queries: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
     """(query, fingerprint, distance) for every distinct fingerprint (long column
     `fingerprint`) of `fps` within `radius` bits of a distinct one of `queries`; exact.
 
-    The 64 bits are cut into `blocks` blocks; at most `radius` of them can differ, so two
-    fingerprints within the radius agree on some `blocks - radius` of them. Each such choice of
-    blocks is a table, keyed by the chosen blocks; a match in any table is then measured."""
+    The 64 bits are cut into `blocks` blocks (by default as many as the number of fingerprints
+    asks for); at most `radius` of them can differ, so two fingerprints within the radius agree on
+    some `blocks - radius` of them. Each such choice of blocks is a table, keyed by the chosen
+    blocks; a match in any table is then measured."""
+    if blocks is None:
+        blocks = table_blocks(fps.count(), radius)
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
     masks = []
     for chosen in combinations(range(blocks), blocks - radius):

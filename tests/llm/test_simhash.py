@@ -3,6 +3,8 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
+import xxhash
 
 from simquarry.llm import simhash as sh
 from simquarry.llm.common import shingles, text_buffer, words
@@ -31,7 +33,8 @@ def test_votes():
 
 
 def expected(docs):
-    docs = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or ""))
+    spark_hash = lambda t: (xxhash.xxh64(t.encode(), seed=42).intdigest() ^ 1 << 63) - (1 << 63)
+    docs = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, spark_hash(d[1] or ""), d[1] or ""))
     texts = [t or "" for _, t in docs]
     fps = sh._hash_texts(texts)
     out = []
@@ -53,8 +56,12 @@ def test_query_on_the_table(spark, data):
     want = expected(docs)
     assert rows(out) == want
     fps = np.array([int(w[3], 16) for w in want], np.uint64)
-    for r in out.where("doc_id % 50 = 0").collect():
-        assert r.near_found == int((np.bitwise_count(fps ^ np.uint64(int(r.fingerprint, 16))) <= 3).sum()) - 1
+    ids = np.array([w[0] for w in want])
+    asked = out.where("near_found is not null").collect()
+    assert sorted(r.doc_id for r in asked) == sorted(i for i in ids.tolist() if i % 50 == 0)
+    for r in asked:
+        near = (np.bitwise_count(fps ^ np.uint64(int(r.fingerprint, 16))) <= 3) & (ids != r.doc_id)
+        assert r.near_found == near.sum() and r.near_fingerprints == sorted({f"{x:016x}" for x in fps[near].tolist()})
 
 
 def test_edge_cases(spark):
@@ -75,3 +82,29 @@ def test_radius_search_is_exact(spark):
     got = {(r["query"], r.fingerprint, r.distance) for r in sh.within_radius(df, df, 3).collect()}
     want = {(a, b, ((a ^ b) & (1 << 64) - 1).bit_count()) for a in signed for b in signed}
     assert got == {w for w in want if w[2] <= 3}
+
+
+def test_rows_that_share_an_id(spark, monkeypatch):
+    """Null and repeated ids, and equal rows, over many ranges."""
+    monkeypatch.setattr(sh, "partitions", lambda spark: 9)
+    docs = [(None, f"text number {i} here") for i in range(60)] + [(7, f"other {i % 20} text") for i in range(60)] + [(i, f"w{i} x y") for i in range(20)]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, H int").repartition(5)
+    assert rows(sh.with_edits(df)) == expected(docs)
+
+
+@pytest.mark.parametrize("n,radius,blocks", [(0, 3, 4), (1000, 3, 4), (10**6, 3, 5), (2 * 10**10, 3, 8), (100, 0, 1)])
+def test_table_blocks(n, radius, blocks):
+    got = sh.table_blocks(n, radius)
+    assert got == blocks and (64 * (got - radius) // got >= n.bit_length() + 4)
+
+
+def test_memory_of_one_long_text():
+    """Votes of a long text are gathered in slices."""
+    import tracemalloc
+
+    raw, offsets = text_buffer(pa.array([" ".join(f"w{i % 5000}" for i in range(1_500_000))]))
+    tracemalloc.start()
+    sh.simhash(raw, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * len(raw)
