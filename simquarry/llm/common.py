@@ -74,6 +74,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df if len(keep) == len(df.columns) else df.select(*(F.col(f"`{c}`") for c in keep))
 
 
+def row_keys(df: DataFrame, *names: str) -> DataFrame:
+    """`df` with two 64-bit hashes of the whole row (nulls told from absent values) under `names`."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    value = lambda c: F.to_json(F.col(f"`{c}`")) if kinds[c] in ("map", "variant") else F.col(f"`{c}`")
+    whole = [*(value(c) for c in df.columns), *(F.col(f"`{c}`").isNull() for c in df.columns)]
+    return df.withColumns({n: F.xxhash64(F.lit(i), *whole) for i, n in enumerate(names, 1)})
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

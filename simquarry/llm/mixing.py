@@ -1,6 +1,6 @@
 """Mixing sources to target weights with the cube method.
 
-Each document may enter 0, 1 or 2 times. A source's target over its size is the expected
+Each row may enter 0, 1 or 2 times. A source's target over its size is the expected
 number of copies of each of its documents: the whole part is granted, the fraction is an
 inclusion probability. The cube method's flight phase moves these fractions along directions
 in the null space of two constraints (document total and token total), so both totals stay
@@ -15,39 +15,54 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, partitions, row_keys
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a flight block.
 BLOCK = 1024
 #: Documents of a block that skip the flight, so that the landing has sizes to choose from.
 RESERVE = 10
-#: Sources are a configuration-sized domain; more of them than this is an error, not a mix.
-MAX_SOURCES = 100_000
+#: Sources whose plan is broadcast; with more the same join shuffles.
+BROADCAST_SOURCES = 100_000
 WEIGHTS = (5.0, 2.0, 1.0)
 _EPS = 1e-9
-
-
-def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> list[float]:
-    """A target for each (source, size), in the order given: `share` of all sizes, split by
-    the weights (repeating); what passes `cap` times a source's size is reshared by weight."""
-    w = [weights[i % len(weights)] for i in range(len(sizes))]
-    out, free, left = [0.0] * len(sizes), list(range(len(sizes))), share * sum(s for _, s in sizes)
-    while free:
-        total = sum(w[i] for i in free)
-        over = [i for i in free if left * w[i] / total > cap * sizes[i][1]]
-        if not over:
-            for i in free:
-                out[i] = left * w[i] / total
+KEYS = ("__mix1", "__mix2")
+
+
+def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """`sources` (source, size, n) with `target`: `share` of all sizes, split by the weights
+    (repeating over the sources by code point, null last); what passes `cap` times a source's
+    size is reshared by weight until none is above.
+
+    The targets are least(cap * size, level * weight) with one level for all, which rises from
+    round to round as more sources stop at their cap; the driver sees only sums. Sources are
+    numbered by their place in a range of sorted ones, so there may be any number of them."""
+    spark = sources.sparkSession
+    order = [F.col("source").isNull(), F.col("source")]
+    spread = materialise(sources.repartitionByRange(partitions(spark), *order).withColumn("place", F.spark_partition_id()), "mix-sources")
+    counts = sorted((r["place"], r["count"]) for r in spread.groupBy("place").count().collect())  # one row a range
+    starts, before = [], 0
+    for place, n in counts:
+        starts.append((place, before))
+        before += n
+    starts = spark.createDataFrame(starts, "place int, before long")
+    inside = F.row_number().over(Window.partitionBy("place").orderBy(*order))
+    number = F.col("before") + inside - 1
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(number, F.lit(len(weights))) + 1).cast("int"))
+    # `starts` has a row for each shuffle partition.
+    table = materialise(spread.join(F.broadcast(starts), "place").withColumn("weight", weight), "mix-weights")
+    whole = table.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
+    total, level, stopped = share * (whole["size"] or 0), 0.0, -1
+    while whole["weight"]:
+        over = F.lit(level) * F.col("weight") > cap * F.col("size")
+        got = table.agg(F.count_if(over).alias("n"), F.coalesce(F.sum(F.when(over, F.col("size"))), F.lit(0)).alias("size"), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0)).alias("weight")).first()
+        if got["n"] == stopped:
             break
-        for i in over:
-            out[i] = cap * sizes[i][1]
-        left -= sum(out[i] for i in over)
-        free = [i for i in free if i not in set(over)]
-    return out
+        stopped, level = got["n"], (total - cap * got["size"]) / got["weight"] if got["weight"] else math.inf
+    return table.select("source", "size", "n", F.least(cap * F.col("size"), F.lit(level) * F.col("weight")).cast("double").alias("target"))
 
 
 def flight(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -118,7 +133,7 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _fly(last: bool):
     def block(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["h", "doc_id", "size"], kind="stable", na_position="first")
+        frame = frame.sort_values(["h", *KEYS, "copy"], kind="stable")
         draw = (frame["h"].to_numpy().astype(np.uint64) >> np.uint64(11)).astype(float) / 2.0**53
         size, p = frame["size"].to_numpy(), frame["p"].to_numpy().astype(float)
         fly = ~reserve(p, size)
@@ -129,39 +144,33 @@ def _fly(last: bool):
 
 
 def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights=WEIGHTS, seed: int = 11) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken (= copies * size).
+    """A row for each row of `docs`: doc_id, source, size, source_size, target, copies, taken
+    (= copies * size), and the two hashes of the whole row that apply_mix joins by.
 
     Size is the number of words of the whole text (null: 0). Sources sort by code point, null
-    last, and weigh `weights`, repeating. Rows that share doc_id and source (null ids too) are
-    one document: their sizes add up. A document without words is taken 0 words. The same rows
-    give the same mix under any partitioning. An empty input gives an empty mix; a source
-    without words has target 0.
+    last, and weigh `weights`, repeating; there may be any number of them. Rows that share an id,
+    or have none, are units of their own; equal rows are interchangeable. A document without words
+    is taken 0 words. The same rows give the same mix under any partitioning. An empty input gives
+    an empty mix; a source without words has target 0.
     """
-    spark = docs.sparkSession
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    units = docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"))
-    units = materialise(units.groupBy("doc_id", "source").agg(F.sum("size").alias("size")), "mix-units")
-    found = units.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    aims = targets([(r["source"], r["size"]) for r in found], weights, share, cap)
-    rows, blocks = [], {}
-    for i, (r, t) in enumerate(zip(found, aims, strict=True)):
-        rate = t / r["size"] if r["size"] else 0.0
-        whole = min(cap, math.floor(rate + _EPS))
-        blocks[i] = max(1, math.ceil(r["n"] / BLOCK))
-        rows.append((r["source"], i, r["size"], float(t), whole, max(0.0, rate - whole), blocks[i]))
-    plan = spark.createDataFrame(rows, "source string, sid int, source_size long, target double, whole int, p double, blocks long")
-    # The plan has one row per source, at most MAX_SOURCES short rows: a bounded broadcast.
-    joined = units.join(F.broadcast(plan), units["source"].eqNullSafe(plan["source"])).select(
-        "doc_id", units["source"], "sid", "size", "source_size", "target", "whole", "p", "blocks",
-        F.xxhash64(F.lit(seed), "doc_id").alias("h"))
+    units = row_keys(docs, *KEYS).select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), *KEYS)
+    units = materialise(units.groupBy(*units.columns).agg(F.count("*").alias("rows")), "mix-units")
+    found = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("size"), F.sum("rows").alias("n"))
+    plan = source_targets(found, weights, share, cap)
+    rate = F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0)
+    whole = F.least(F.lit(cap), F.floor(rate + _EPS).cast("int"))
+    plan = plan.select(F.col("source").alias("of"), F.col("size").alias("source_size"), "target", whole.alias("whole"), F.greatest(F.lit(0.0), rate - whole).alias("p"), F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+    plan = materialise(plan, "mix-plan")
+    size = plan.agg(F.count("*").alias("n"), F.coalesce(F.max("blocks"), F.lit(1)).alias("width")).first()
+    side = F.broadcast(plan) if size["n"] <= BROADCAST_SOURCES else plan  # its size has just been counted
+    each = units.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("rows")
+    joined = each.join(side, each["source"].eqNullSafe(plan["of"])).drop("of").withColumn("h", F.xxhash64(F.lit(seed), "doc_id", *KEYS, "copy"))
     level = joined.withColumn("block", F.pmod(F.shiftright("h", 16), F.col("blocks"))).drop("blocks")
-    decided, width = [], max(blocks.values(), default=1)
+    decided, width = [], size["width"]
     while True:
         last = width <= 1
-        level = level.groupBy("sid", "block").applyInPandas(_fly(last), level.schema)
+        level = level.groupBy("source", "block").applyInPandas(_fly(last), level.schema)
         if last:
             decided.append(level)
             break
@@ -174,15 +183,19 @@ def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights=WEIGHTS, seed
     for more in decided[1:]:
         out = out.unionByName(more)
     copies = F.col("whole") + F.col("p").cast("int")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *KEYS)
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes its document."""
-    cols = [F.col(f"d.`{c}`") for c in docs.columns]
-    m = mixed.where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), "copies")
-    on = F.col("d.doc_id").eqNullSafe(F.col("m.mix_id")) & F.col("d.source").cast("string").eqNullSafe(F.col("m.mix_source"))
-    return (
-        docs.alias("d").join(m.alias("m"), on)
-        .select(*cols, F.explode(F.sequence(F.lit(1), F.col("m.copies"))).alias("mix_copy")).drop("mix_copy")
-    )
+    """The rows of `docs`, each as often as the mix takes it; equal rows together as often as it
+    takes all of them."""
+    taken = mixed.groupBy(*KEYS).agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows"))
+    taken = materialise(taken.where("__copies > 0"), "mix-taken")
+    rows = row_keys(docs, *KEYS)
+    again = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")
+    out = rows.join(taken.where("__rows = 1"), [*KEYS]).select(*(F.col(f"`{c}`") for c in docs.columns), again)
+    many = taken.where("__rows > 1")
+    if not many.isEmpty():  # of equal rows, one stands for all
+        one = rows.join(many, [*KEYS], "left_semi").dropDuplicates([*KEYS])
+        out = out.unionByName(one.join(many, [*KEYS]).select(*(F.col(f"`{c}`") for c in docs.columns), again))
+    return out.drop("__copy")

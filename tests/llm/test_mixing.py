@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -8,12 +9,118 @@ from simquarry.llm import mixing
 from simquarry.llm.queries import op10_mixing
 
 
-def test_targets():
+def plain_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2):
+    """Targets of (source, size) by the rule: stop what is above, reshare, until none is."""
+    sizes = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(sizes)}
+    size, stopped = dict(sizes), {}
+    while True:
+        free = [s for s in size if s not in stopped]
+        left = share * sum(size.values()) - sum(stopped.values())
+        out = stopped | {s: left * weight[s] / sum(weight[f] for f in free) for s in free}
+        over = [s for s in free if out[s] > cap * size[s]]
+        if not over:
+            return out
+        stopped |= {s: cap * size[s] for s in over}
+
+
+def targets(spark, sizes):
+    df = spark.createDataFrame([(s, n, 1) for s, n in sizes], "source string, size long, n long").repartition(3)
+    return {r.source: r.target for r in mixing.source_targets(df).collect()}
+
+
+def test_targets(spark):
     # 450 by 5, 2, 1 gives 281.25 to the first; its excess over 200 goes to the others, 2 to 1.
-    assert mixing.targets([("a", 100), ("b", 100), ("c", 100)]) == pytest.approx([200, 500 / 3, 250 / 3])
-    t = mixing.targets([("a", 100), ("b", 100), ("c", 100), (None, 0)])
-    assert t[0] == 200 and abs(sum(t) - 450) < 1e-9 and t[3] == 0 and max(t) <= 200
-    assert mixing.targets([]) == []
+    assert targets(spark, [("a", 100), ("b", 100), ("c", 100)]) == pytest.approx({"a": 200, "b": 500 / 3, "c": 250 / 3})
+    t = targets(spark, [("a", 100), ("b", 100), ("c", 100), (None, 0)])
+    assert t["a"] == 200 and abs(sum(t.values()) - 450) < 1e-9 and t[None] == 0 and max(t.values()) <= 200
+    assert targets(spark, []) == {}
+    assert targets(spark, [("a", 0), (None, 0)]) == {"a": 0, None: 0}
+
+
+def test_targets_of_many_sources(spark, monkeypatch):
+    rng = random.Random(6)
+    sizes = [(f"s{rng.random()}é" if i % 3 else f"S{rng.random()}", int(rng.paretovariate(0.8) * 10)) for i in range(3000)] + [(None, 500)]
+    assert targets(spark, sizes) == pytest.approx(plain_targets(sizes))
+    rows = [(i, "w " * rng.randrange(1, 30), f"src{i % 400}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one = sorted((r.doc_id, r.taken) for r in mixing.mix(df).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    assert sorted((r.doc_id, r.taken) for r in mixing.mix(df).collect()) == one and len(one) == 2000
+
+
+def plain_flight(p, z, u):
+    """The cube's flight by cross products: while two units (of one size) or three are open, move
+    along the null space of (1, z) to a face."""
+    p, open_ = [float(x) for x in p], []
+    for i in range(len(p)):
+        if not 1e-9 < p[i] < 1 - 1e-9:
+            p[i] = float(round(p[i]))
+            continue
+        open_.append(i)
+        while len(open_) > 2 or len(open_) == 2 and z[open_[0]] == z[open_[1]]:
+            if len(open_) == 2:
+                way = np.array([1.0, -1.0])
+            else:
+                way = np.cross([1.0, 1.0, 1.0], [float(z[j]) for j in open_])
+                way = way / np.abs(way).max() if np.abs(way).max() else np.array([1.0, -1.0, 0.0])
+            now = np.array([p[j] for j in open_])
+            up = min([(1 - x) / d if d > 0 else -x / d for x, d in zip(now, way, strict=True) if d])
+            down = min([x / d if d > 0 else (x - 1) / d for x, d in zip(now, way, strict=True) if d])
+            now = now + way * (up if u[open_[-1]] * (up + down) < down else -down)
+            for j, x in zip(open_, now, strict=True):
+                p[j] = 0.0 if x < 1e-9 else 1.0 if x > 1 - 1e-9 else float(x)
+            open_ = [j for j in open_ if 0 < p[j] < 1]
+    return p
+
+
+@pytest.mark.parametrize("n", [300, 2500])
+def test_taken_equals_the_plain_method(spark, n):
+    rng = random.Random(n)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 200)), rng.choice(["a", "a", "b", None])) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    from pyspark.sql import functions as F
+
+    from simquarry.llm.common import row_keys
+
+    keyed = row_keys(df, *mixing.KEYS).withColumn("h", F.xxhash64(F.lit(11), "doc_id", *mixing.KEYS, F.lit(1).cast("long")))
+    draws = {r.doc_id: r.h for r in keyed.collect()}
+    size = {i: len(t.split()) for i, t, _ in rows}
+    out = mixing.mix(df).collect()
+    aims, want = {r.source: r.target for r in out}, {}
+    assert aims == pytest.approx(plain_targets([(s, sum(size[i] for i, _, x in rows if x == s)) for s in aims]))
+    for s, aim in aims.items():
+        own = [i for i, _, x in rows if x == s]
+        rate = aim / sum(size[i] for i in own)
+        whole = min(2, math.floor(rate + 1e-9))
+        open_ = dict.fromkeys(own, max(0.0, rate - whole))
+        blocks, shift = math.ceil(len(own) / mixing.BLOCK), 16
+        width = max(math.ceil(sum(x == t for _, _, x in rows) / mixing.BLOCK) for t in aims)
+        while True:
+            for b in range(blocks):
+                block = sorted((i for i in open_ if 0 < open_[i] < 1 and (draws[i] >> shift) % blocks == b), key=lambda i: draws[i])
+                if not block:
+                    continue
+                p, z = np.array([open_[i] for i in block]), np.array([size[i] for i in block])
+                fly = ~mixing.reserve(p, z)
+                u = [((draws[i] & (1 << 64) - 1) >> 11) / 2.0**53 for i in block]
+                p[fly] = plain_flight(p[fly], z[fly], [x for x, f in zip(u, fly, strict=True) if f])
+                left = [k for k in range(len(block)) if 0 < p[k] < 1]
+                if width <= 1 and left:
+                    # The landing, by trying every rounding; the first one counts as 1, 2, 4 ... do.
+                    tries = [[c >> k & 1 for k in range(len(left))] for c in range(1 << len(left))]
+                    off = np.array(tries, float) - p[left]
+                    cost = np.abs(off @ z[left]) + 0.02 * z.mean() * np.abs(off.sum(axis=1))
+                    best = tries[int(np.argmin(cost))]
+                    for k, x in enumerate(left):
+                        p[x] = best[k]
+                open_ |= dict(zip(block, p.tolist(), strict=True))
+            if width <= 1:
+                break
+            width = blocks = math.ceil((mixing.RESERVE + 2) * width / mixing.BLOCK)
+            shift = 8
+        want |= {i: (whole + int(open_[i])) * size[i] for i in own}
+    assert {r.doc_id: r.taken for r in out} == want
 
 
 def test_flight_keeps_totals():
@@ -55,9 +162,16 @@ def test_mix(spark, monkeypatch, block):
 def test_edge_cases(spark):
     schema = "doc_id long, text string, source string, copies int"
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
-    rows = [(1, None, "a", 1), (1, None, "a", 1), (2, "", None, 1), (None, "x y", "a", 1), (3, "w " * 50_000, "b", 1)]
-    got = {(r.doc_id, r.source): (r["size"], r.taken) for r in mixing.mix(spark.createDataFrame(rows, schema)).collect()}
-    assert set(got) == {(1, "a"), (2, None), (None, "a"), (3, "b")} and got[2, None] == (0, 0) and got[3, "b"][0] == 50_000
+    rows = [(1, None, "a", 1), (1, None, "a", 1), (1, "x", "a", 1), (2, "", None, 1), (None, "x y", "a", 1), (None, "z", "a", 1), (3, "w " * 50_000, "b", 1)]
+    df = spark.createDataFrame(rows, schema)
+    got = mixing.mix(df).collect()
+    assert sorted((str(r.doc_id), r.source, r["size"]) for r in got if r.source) == [("1", "a", 0), ("1", "a", 0), ("1", "a", 1), ("3", "b", 50_000), ("None", "a", 1), ("None", "a", 2)]
+    assert len(got) == len(rows) and all(r.taken <= 2 * r["size"] for r in got)
+    same = spark.createDataFrame([(5, "p q r", "a", 1)] * 40 + [(6, "s", "b", 1)], schema)
+    mixed = mixing.mix(same)
+    assert mixed.count() == 41
+    out = mixing.apply_mix(same, mixed)
+    assert out.columns == same.columns and out.where("doc_id = 5").count() == mixed.where("doc_id = 5").groupBy().sum("copies").first()[0]
 
 
 def test_query(spark, data):
