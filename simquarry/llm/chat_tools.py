@@ -2,7 +2,9 @@
 
 Calls and results are hash-joined on (conversation, identifier), calls are put in topological
 order of their references, arguments are validated against schemas, and each linked call is
-written as canonical JSON (sorted keys, no spaces).
+written as canonical JSON: UTF-8, keys sorted by code point, no spaces, a number as Spark's variant
+writes it (integers without exponent, 1.50 as 1.5). Arguments that aren't JSON, or repeat a key,
+are written as one string.
 
 No step gathers a conversation: joins go by conversation and identifier, depths come from path
 doubling over references, and places within a conversation from prefix sums over blocks of turns.
@@ -10,6 +12,7 @@ doubling over references, and places within a conversation from prefix sums over
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,8 +22,10 @@ from .common import Scratch, materialise
 
 #: Turns of a block whose calls are numbered together.
 TURNS = 256
-#: Tool -> argument -> (JSON type, required).
-Schema = Mapping[str, Mapping[str, tuple[str, bool]]]
+#: Tool -> argument -> (kind, required). A kind is a JSON type ("string", "integer", "number",
+#: "boolean", "object", "array", "null"), "array<type>" of one of these (but array), a list of the
+#: values allowed, or the fields of a nested object.
+Schema = Mapping[str, Mapping[str, tuple]]
 REPLY: Schema = {"reply": {"prompt": ("string", True), "turn": ("integer", True)}}
 #: How Spark names the types of JSON values.
 _TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DECIMAL", "DOUBLE"), "boolean": ("BOOLEAN",), "object": ("OBJECT",), "array": ("ARRAY",), "null": ("VOID",)}
@@ -65,59 +70,114 @@ def _same(a: str, b: str) -> Column:
     return F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id"))
 
 
+def _is(shown: Column, kind: str) -> Column:
+    out = F.lit(False)
+    for t in _TYPES[kind]:
+        out = out | F.startswith(shown, F.lit(t))
+    return F.coalesce(out, F.lit(False))
+
+
+def _fits(value: Column, kind) -> tuple[Column, str]:
+    """Whether a JSON value (a variant) is of a kind that isn't an object's fields, and how the
+    kind is named."""
+    shown = F.schema_of_variant(value)
+    if isinstance(kind, str) and kind.startswith("array<"):
+        one = kind[len("array<") : -1]
+        items = F.from_json(F.to_json(value), "array<variant>")
+        return _is(shown, "array") & F.coalesce(F.forall(items, lambda x: _is(F.coalesce(F.schema_of_variant(x), F.lit("VOID")), one)), F.lit(False)), kind
+    if not isinstance(kind, str):
+        allowed = [json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v in kind]
+        return F.coalesce(F.to_json(value).isin(*allowed), F.lit(False)), f"one of {', '.join(allowed)}"
+    return _is(shown, kind), kind
+
+
+def _broken(value: Column, fields: Mapping, lead: str) -> Column:
+    """An array of the ways in which an object (a variant) breaks its fields, null-free."""
+    keys = F.coalesce(F.json_object_keys(F.to_json(value)), F.array().cast("array<string>"))
+    none, found = F.array().cast("array<string>"), []
+    for field, (kind, required) in sorted(fields.items()):
+        inner, name = F.try_variant_get(value, f"$['{field}']", "variant"), lead + field
+        missing = F.array(F.lit(f"missing {name}")) if required else none
+        if isinstance(kind, Mapping):
+            own = F.when(_is(F.schema_of_variant(inner), "object"), _broken(inner, kind, f"{name}.")).otherwise(F.array(F.lit(f"{name} is not object")))
+        else:
+            fits, called = _fits(inner, kind)
+            own = F.when(fits, none).otherwise(F.array(F.lit(f"{name} is not {called}")))
+        found.append(F.when(F.array_contains(keys, field), own).otherwise(missing))
+    known = F.array(*(F.lit(f) for f in fields)).cast("array<string>")
+    return F.concat(*found, F.transform(F.array_except(keys, known), lambda k: F.concat(F.lit(f"unexpected {lead}"), k)))
+
+
 def problems(schemas: Schema) -> Column:
-    """The ways in which `arguments` (JSON) of the tool `name` break its schema, sorted."""
+    """The ways in which `arguments` (JSON) of the tool `name` break its schema, sorted. An
+    argument that is null is there, of type null; JSON with a repeated key isn't an object."""
     args = F.try_parse_json("arguments")
-    keys = F.coalesce(F.json_object_keys("arguments"), F.array().cast("array<string>"))
     out = F.array(F.lit("unknown tool"))
     for tool, fields in sorted(schemas.items()):
-        found = []
-        for field, (kind, required) in sorted(fields.items()):
-            value = F.try_variant_get(args, f"$.{field}", "variant")
-            shown = F.schema_of_variant(value)
-            fits = F.lit(False)
-            for t in _TYPES[kind]:
-                fits = fits | F.startswith(shown, F.lit(t))
-            there = F.array_contains(keys, field)
-            found.append(F.when(~there, F.lit(f"missing {field}") if required else F.lit(None)).when(~F.coalesce(fits, F.lit(False)), F.lit(f"{field} is not {kind}")))
-        extra = F.transform(F.array_except(keys, F.array(*(F.lit(f) for f in fields)).cast("array<string>")), lambda k: F.concat(F.lit("unexpected "), k))
-        own = F.concat(F.array_compact(F.array(*found).cast("array<string>")), extra)
-        out = F.when(F.col("name") == tool, own).otherwise(out)
+        out = F.when(F.col("name") == tool, _broken(args, fields, "")).otherwise(out)
     broken = args.isNull() | ~F.startswith(F.coalesce(F.schema_of_variant(args), F.lit("")), F.lit("OBJECT"))
     return F.array_sort(F.when(broken, F.array(F.lit("arguments are not a JSON object"))).otherwise(out))
 
 
+def _on(a: str, x: str, b: str, y: str) -> Column:
+    return _same(a, b) & (F.col(f"{a}.{x}") == F.col(f"{b}.{y}"))
+
+
+def _anchored(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, call_id, anchor, dist, open): for each call, the first call below it, itself
+    included, that has no reference or several, and how many references lead to it; open where a
+    cycle of single references never gets to one. Path doubling: a round for each doubling of
+    the longest chain."""
+    count = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("parent").alias("parent"))
+    state = nodes.alias("n").join(count.alias("e"), _on("n", "call_id", "e", "call_id"), "left")
+    single = F.coalesce(F.col("e.n") == 1, F.lit(False))
+    state = state.select("n.conv_id", "n.call_id", F.when(single, F.col("e.parent")).otherwise(F.col("n.call_id")).alias("anchor"), single.cast("long").alias("dist"), single.alias("open"))
+    state = scratch.table(state, "chat-anchor")
+    for _ in range(max(1, state.count()).bit_length() + 1):
+        if state.where("open").isEmpty():
+            break
+        p = state.select("conv_id", F.col("call_id").alias("id"), F.col("anchor").alias("next"), F.col("dist").alias("more"), F.col("open").alias("still")).alias("p")
+        moved = state.where("open").alias("s").join(p, _on("s", "anchor", "p", "id"))
+        moved = moved.select("s.conv_id", "s.call_id", F.col("p.next").alias("anchor"), (F.col("s.dist") + F.col("p.more")).alias("dist"), F.col("p.still").alias("open"))
+        state = scratch.table(state.where("not open").unionByName(moved), "chat-anchor")
+    return state
+
+
 def _depths(calls: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv_id, call_id, depth): the longest chain of references below a call; calls on or
-    after a cycle have a null depth. `edges`: conv_id, call_id, parent, both known calls."""
-    many = edges.groupBy("conv_id", "call_id").count().where("count > 1").limit(1)
-    nodes = calls.select("conv_id", "call_id")
+    after a cycle have a null depth. `edges`: conv_id, call_id, parent, both known calls.
+
+    Chains of single references are shortened to their anchors by path doubling, everywhere. Only
+    calls with several references are then taken level by level, as many levels as the longest
+    chain of such calls has; calls without any are never in these rounds."""
+    state = _anchored(calls.select("conv_id", "call_id"), edges, scratch)
+    many = scratch.table(edges.groupBy("conv_id", "call_id").count().where("count > 1").select("conv_id", "call_id"), "chat-many")
+    single = state.where("not open").select("conv_id", "call_id", F.col("anchor"), "dist")
     if many.isEmpty():
-        # One reference at most: path doubling, a round for each doubling of the longest chain.
-        state = nodes.alias("n").join(edges.alias("e"), _same("n", "e") & (F.col("n.call_id") == F.col("e.call_id")), "left")
-        state = scratch.table(state.select("n.conv_id", "n.call_id", F.col("e.parent").alias("up"), F.when(F.col("e.parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "chat-depth")
-        total = state.count()
-        for _ in range(max(1, total).bit_length() + 1):
-            if state.where("up is not null").isEmpty():
-                break
-            s, p = state.alias("s"), state.select("conv_id", F.col("call_id").alias("up_id"), F.col("up").alias("next"), F.col("depth").alias("more")).alias("p")
-            state = s.join(p, _same("s", "p") & (F.col("s.up") == F.col("p.up_id")), "left")
-            state = scratch.table(state.select("s.conv_id", "s.call_id", F.col("p.next").alias("up"), (F.col("s.depth") + F.coalesce("p.more", F.lit(0))).alias("depth")), "chat-depth")
-        return state.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
-    # Several references: rounds take the calls whose references all have a depth.
-    open_, done, level = scratch.table(edges, "chat-edges"), None, 0
-    left = scratch.table(nodes, "chat-nodes")
-    while True:
-        waits = open_.select("conv_id", "call_id").distinct()
-        ready = left.alias("l").join(waits.alias("w"), _same("l", "w") & (F.col("l.call_id") == F.col("w.call_id")), "left_anti")
-        ready = scratch.table(ready.withColumn("depth", F.lit(level).cast("long")), "chat-ready")
-        if ready.isEmpty():
-            rest = left.withColumn("depth", F.lit(None).cast("long"))
-            return rest if done is None else done.unionByName(rest)
-        done = ready if done is None else done.unionByName(ready)
-        left = scratch.table(left.alias("l").join(ready.alias("w"), _same("l", "w") & (F.col("l.call_id") == F.col("w.call_id")), "left_anti"), "chat-nodes")
-        open_ = scratch.table(open_.alias("l").join(ready.alias("w"), _same("l", "w") & (F.col("l.parent") == F.col("w.call_id")), "left_anti"), "chat-edges")
-        level += 1
+        return state.select("conv_id", "call_id", F.when(~F.col("open"), F.col("dist")).alias("depth"))
+    # The references of such calls, from anchor to anchor; those into a cycle never resolve.
+    own = edges.alias("e").join(many.alias("m"), _on("e", "call_id", "m", "call_id"), "left_semi")
+    own = own.alias("e").join(state.alias("s"), _on("e", "parent", "s", "call_id"))
+    open_ = own.select("e.conv_id", "e.call_id", F.when(~F.col("s.open"), F.col("s.anchor")).alias("anchor"), (F.col("s.dist") + 1).alias("dist"))
+    open_ = scratch.table(open_, "chat-edges")
+    # Depths that are known: first the anchors without references, then level by level.
+    ends = single.where("anchor = call_id").select("conv_id", F.col("call_id").alias("anchor"), F.lit(0).cast("long").alias("depth")).alias("k")
+    fresh = scratch.table(ends.join(many.alias("m"), _on("k", "anchor", "m", "call_id"), "left_anti"), "chat-known")
+    known, best = fresh, None
+    while not open_.isEmpty():
+        met = open_.alias("e").join(fresh.alias("k"), _on("e", "anchor", "k", "anchor"))
+        met = met.select("e.conv_id", "e.call_id", (F.col("k.depth") + F.col("e.dist")).alias("depth"))
+        best = scratch.table((met if best is None else best.unionByName(met)).groupBy("conv_id", "call_id").agg(F.max("depth").alias("depth")), "chat-best")
+        open_ = scratch.table(open_.alias("e").join(fresh.alias("k"), _on("e", "anchor", "k", "anchor"), "left_anti"), "chat-edges")
+        waits = open_.select("conv_id", "call_id").distinct().alias("w")
+        fresh = best.alias("b").join(waits, _on("b", "call_id", "w", "call_id"), "left_anti").select("conv_id", F.col("call_id").alias("anchor"), "depth")
+        fresh = scratch.table(fresh, "chat-known")
+        if fresh.isEmpty():
+            break
+        known = known.unionByName(fresh)
+        best = best.alias("b").join(fresh.alias("k"), _on("b", "call_id", "k", "anchor"), "left_anti")
+    out = state.alias("s").join(known.alias("k"), _on("s", "anchor", "k", "anchor"), "left")
+    return out.select("s.conv_id", "s.call_id", F.when(~F.col("s.open"), F.col("k.depth") + F.col("s.dist")).alias("depth"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Schema = REPLY) -> DataFrame:
