@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -73,3 +74,98 @@ def test_query_on_the_table(spark, data):
     urls = {r.page_id: r.url for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     out = op7_url_filter(spark, data).collect()
     assert len(out) == len(urls) and all((r.host, r.path) == plain(urls[r.page_id]) and r.rule == rule_of(r.host, r.path)[0] for r in out)
+
+
+# ---------------------------------------------------------------- the trees, plainly
+
+
+def features(url):
+    """The lexical features of a URL by their definitions, without the suffix statistics."""
+    u = url or ""
+    host, path = plain(url)
+    n = max(1, len(u))
+    query = u.split("?", 1)[1].split("#", 1)[0] if "?" in u else ""
+    return [
+        len(u), len(host), len(path), sum(s != "" for s in path.split("/")), len(host.split(".")), sum("0" <= c <= "9" for c in u) / n,
+        -sum(c / n * math.log2(c / n) for c in Counter(u).values()), len(re.split("[&;]", query)) if query else 0, len(query), sum(not re.match("[0-9A-Za-z]", c) for c in u) / n,
+        sum(c in "-_%" for c in u), float(u.startswith("https:")), float("#" in u)]
+
+
+def walk(lines, x):
+    """A prediction from a tree as it is printed: indented If / Else lines down to a Predict."""
+    k = 0
+    while True:
+        line = lines[k].strip()
+        if line.startswith("Predict:"):
+            return float(line.split(":")[1])
+        feature, bound = re.match(r"If \(feature (\d+) <= (.*)\)", line).groups()
+        if x[int(feature)] <= float(bound):
+            k += 1
+        else:
+            depth = len(lines[k]) - len(lines[k].lstrip())
+            k = next(j for j in range(k + 1, len(lines)) if lines[j].lstrip().startswith("Else") and len(lines[j]) - len(lines[j].lstrip()) == depth) + 1
+
+
+def test_scores_equal_the_plain_ones(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url").unionByName(spark.createDataFrame([(10**6 + i, u) for i, u in enumerate(ODD)], "page_id long, url string"))
+    full = uf.described(pages, uf.RULES)
+    counts = {r["ruled"]: r["count"] for r in full.where("ruled is not null").groupBy("ruled").count().collect()}
+    trees = uf.train_filter(full, counts)
+    urls = {r.page_id: r.url for r in pages.collect()}
+    covered = {u: rule_of(*plain(u))[1] for u in urls.values() if rule_of(*plain(u))[1]}
+    prior = sum(rule_of(*plain(u))[1] == "block" for u in urls.values()) / sum(counts.values())
+    share = []
+    for k in (1, 2):
+        own = {}
+        for u, verdict in covered.items():
+            bad, n = own.get(".".join(plain(u)[0].split(".")[-k:]), (0, 0))
+            own[".".join(plain(u)[0].split(".")[-k:])] = bad + (verdict == "block"), n + 1
+        share.append({h: (bad + 5 * prior) / (n + 5) for h, (bad, n) in own.items()})
+    printed, lines = trees.model.toDebugString.split("\n"), []
+    for line in printed[1:]:
+        if line.strip().startswith("Tree "):
+            lines.append([])
+        elif line.strip():
+            lines[-1].append(line)
+    assert len(lines) == len(trees.model.treeWeights) == 12
+    got = {r.page_id: r for r in uf.judge_urls(pages).collect()}
+    free = 0
+    for i, u in urls.items():
+        if got[i].rule is None:
+            host = plain(u)[0]
+            x = features(u) + [share[k].get(".".join(host.split(".")[-(k + 1) :]), prior) for k in (0, 1)]
+            margin = sum(w * walk(tree, x) for w, tree in zip(trees.model.treeWeights, lines, strict=True))
+            assert got[i].score == pytest.approx(1 / (1 + math.exp(-2 * margin)), abs=1e-9)
+            assert got[i].verdict == ("block" if got[i].score > 0.5 else "allow")
+            free += 1
+    assert free > 20
+
+
+def test_own_label_is_not_in_a_training_url_s_suffix(spark):
+    """A suffix that one training URL has says nothing about that URL."""
+    rows = [(i, f"http://h{i}.one{i}/", "") for i in range(40)]
+    rules = [("block" if i % 2 else "allow", f"one{i}/") for i in range(40)]
+    full = uf.described(spark.createDataFrame(rows, S), rules)
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def look(df):
+        seen.extend(df.select("f_suffix", "label").collect())
+        raise Stop
+
+    real, uf._assembled = uf._assembled, look
+    try:
+        with pytest.raises(Stop):
+            uf.train_filter(full, {"block": 20, "allow": 20})
+    finally:
+        uf._assembled = real
+    assert len(seen) == 40 and {r.f_suffix for r in seen} == {0.5}
+
+
+def test_very_long_url(spark):
+    long = "http://example.org/" + "a/b1" * 250_000 + "?" + "x=1&" * 1000
+    rows = [(i, f"https://s{i}.example.{'net' if i % 2 else 'com'}/{'es' if i % 2 else 'it'}/{i}", "x") for i in range(40)] + [(99, long, "x")]
+    out = {r.page_id: r for r in uf.judge_urls(spark.createDataFrame(rows, S)).collect()}
+    assert (out[99].host, out[99].path) == plain(long) and out[99].rule is None and out[99].score is not None
