@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = r"^\s+|\s+$"
@@ -49,6 +49,27 @@ def pair_ends(sid: Column, collection: Column) -> tuple[Column, Column]:
     return F.substring(body, F.lit(1), at - 1), F.substring(body, at + 1, F.length(body))
 
 
+def with_missing_ids(df: DataFrame) -> DataFrame:
+    """`df` with function_id, file_id and batch_id: those it has, else those that follow from
+    collection, file_md5, entrypoint_address and batch_uuid (null where one of these is)."""
+    own = {
+        "function_id": function_id(F.col("collection"), F.col("file_md5"), F.col("entrypoint_address")),
+        "file_id": file_id(F.col("collection"), F.col("file_md5")), "batch_id": batch_id(F.col("collection"), F.col("batch_uuid"))}
+    parts = {"function_id": ("collection", "file_md5", "entrypoint_address"), "file_id": ("collection", "file_md5"), "batch_id": ("collection", "batch_uuid")}
+    for name, value in own.items():
+        whole = F.lit(True)
+        for p in parts[name]:
+            whole = whole & F.col(p).isNotNull()
+        built = F.when(whole, value)
+        df = df.withColumn(name, F.coalesce(F.col(name), built) if name in df.columns else built)
+    return df
+
+
+def json_digest(value: Column) -> Column:
+    """The md5 of a struct as JSON: a fallback id, or a key of what was asked."""
+    return F.md5(F.to_json(value).cast("binary"))
+
+
 def without_meta(key: Column) -> Column:
     return F.regexp_replace(key, ":meta$", "")
 
@@ -86,8 +107,8 @@ def token_type(cls: Column) -> Column:
 
 
 def fmt_bytes(n: Column) -> Column:
-    """A byte count with its unit."""
-    out = F.format_string("%.1f TB", n / 1024.0**4)
+    """A byte count with its unit, to one decimal (ties to even)."""
+    out = F.format_string("%.1f TB", F.bround(n / 1024.0**4, 1))
     for unit, power in (("GB", 3), ("MB", 2), ("KB", 1), ("B", 0)):
-        out = F.when(n < 1024.0 ** (power + 1), F.format_string(f"%.1f {unit}", n / 1024.0**power)).otherwise(out)
+        out = F.when(n < 1024.0 ** (power + 1), F.format_string(f"%.1f {unit}", F.bround(n / 1024.0**power, 1))).otherwise(out)
     return out

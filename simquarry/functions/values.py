@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Colours that a new tag may get (fixed values).
-PALETTE = ("#f92672", "#a6e22e", "#fd971f", "#e6db74", "#ae81ff", "#66d9ef", "#75715e", "#38ccd1", "#ef5939")
+PALETTE = ("#FF5555", "#50FA7B", "#F1FA8C", "#BD93F9", "#FF79C6", "#8BE9FD", "#FFB86C", "#A6E22E", "#66D9EF")
+#: Dates, with a time and a zone or without.
+ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.]\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 DEFAULT_COLOUR, DEFAULT_PRIORITY = "#66d9ef", 0
 
 
@@ -18,8 +20,38 @@ def millis(value: Column) -> Column:
 
 
 def millis_text(value: Column) -> Column:
-    """Epoch milliseconds of an ISO-8601 string ("Z" allowed); anything else gives 0."""
-    return F.coalesce(F.unix_millis(F.try_to_timestamp(value)), F.lit(0).cast("long"))
+    """Epoch milliseconds of an ISO-8601 string with a whole date ("Z" allowed); anything else,
+    such as a year alone, gives 0."""
+    whole = F.rlike(value, F.lit(ISO))
+    return F.coalesce(F.unix_millis(F.when(whole, F.try_to_timestamp(value))), F.lit(0).cast("long"))
+
+
+def now_ms() -> Column:
+    return F.unix_millis(F.current_timestamp())
+
+
+def new_id() -> Column:
+    """A random identifier for each row."""
+    return F.uuid()
+
+
+def shown_time(ms: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """Epoch milliseconds for display, in the session's time zone."""
+    return F.date_format(F.timestamp_millis(ms), pattern)
+
+
+def shortened(text: Column, width: int = 30) -> Column:
+    """The first `width` characters for display."""
+    return F.substring(text, 1, width)
+
+
+def tf_map(features: Column) -> Column:
+    """A map from a list of (hash, tf) with distinct hashes."""
+    return F.map_from_entries(F.transform(features, lambda x: F.struct(x["hash"].alias("key"), x["tf"].alias("value"))))
+
+
+def lookup(map_: Column, key: Column, default: Column) -> Column:
+    return F.coalesce(F.try_element_at(map_, key), default)
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -33,8 +65,9 @@ def append_once(tags: Column, tag: Column) -> Column:
 
 
 def colour(tag: Column) -> Column:
-    """A palette colour that follows from the tag alone."""
-    return F.element_at(F.array(*(F.lit(c) for c in PALETTE)), (F.pmod(F.crc32(tag.cast("binary")), F.lit(len(PALETTE))) + 1).cast("int"))
+    """A palette colour that follows from the tag alone, by its md5."""
+    number = F.conv(F.substring(F.md5(tag.cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.element_at(F.array(*(F.lit(c) for c in PALETTE)), (F.pmod(number, F.lit(len(PALETTE))) + 1).cast("int"))
 
 
 def clamp(value: Column, low: int, high: int) -> Column:

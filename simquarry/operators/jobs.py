@@ -67,3 +67,38 @@ def cancel(jobs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def success_rate(uploads: DataFrame) -> DataFrame:
     return uploads.agg(F.count("*").alias("total"), F.count_if("ok").alias("succeeded"), (F.avg(F.col("ok").cast("int")) * 100).alias("percent"))
+
+
+def with_eta(jobs: DataFrame, now: str = "now_ms") -> DataFrame:
+    """Speed (items a second since created_at, milliseconds) and eta (seconds) of each job; 0
+    where nothing is done or no time has passed."""
+    took = (F.col(now) - F.col("created_at")) / 1000.0
+    speed = F.when((took > 0) & (F.col("processed_items") > 0), F.col("processed_items") / took).otherwise(F.lit(0.0))
+    left = F.greatest(F.lit(0), F.col("total_items") - F.col("processed_items"))
+    return jobs.withColumn("speed", speed).withColumn("eta", F.when(F.col("speed") > 0, left / F.col("speed")).otherwise(F.lit(0.0)))
+
+
+def perf_percent(rolled: DataFrame) -> DataFrame:
+    """perf_rollup with each part's share of its row's total, in percent to one decimal (0 where
+    the total is 0)."""
+    share = lambda c: F.when(F.col("total") > 0, F.round(F.col(c) / F.col("total") * 100, 1)).otherwise(F.lit(0.0))
+    return rolled.withColumns({f"{c}_percent": share(c) for c in ("db", "lua", "python")})
+
+
+def finished(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """The jobs after `results` (id, ok): a running job becomes completed or failed, other jobs
+    keep their state."""
+    r = results.groupBy(F.col("id").alias("__id")).agg(F.min("ok").alias("__ok"))
+    out = jobs.join(r, F.col("id") == F.col("__id"), "left")
+    done = (F.col("status") == ACTIVE) & F.col("__ok").isNotNull()
+    return out.withColumn("status", F.when(done, F.when(F.col("__ok"), "completed").otherwise("failed")).otherwise(F.col("status"))).drop("__id", "__ok")
+
+
+def next_stages(tasks: DataFrame) -> DataFrame:
+    """The tasks (id, parent_id, stage, status) that may start: of each pipeline without a failed or
+    cancelled task, the first pending one once all before it are completed."""
+    w = Window.partitionBy("parent_id")
+    first = F.min(F.when(F.col("status") != "completed", F.col("stage"))).over(w)
+    stopped = F.max(F.col("status").isin("failed", CANCELLED)).over(w)
+    out = tasks.withColumns({"__first": first, "__stopped": stopped})
+    return out.where((F.col("status") == PENDING) & (F.col("stage") == F.col("__first")) & ~F.col("__stopped")).drop("__first", "__stopped")

@@ -1,8 +1,8 @@
 """Document search and faceted similarity search.
 
-Filters resolve to sets of functions; a pair matches where either end is in the set. Target
-sets are never collected: each facet is one semi-join over the pair ends. Sorting and paging come
-before enrichment, so only a page's rows meet the metadata."""
+Filters resolve to flags on functions and files; a pair matches where either end has the flag.
+Target sets are never collected, and all flags come in one join for each end. Sorting and paging
+come before enrichment, so only a page's rows meet the metadata."""
 
 from __future__ import annotations
 
@@ -11,11 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .similarity import involves
-
 LIMIT, POOL = 100, 1_000_000
 MIN_SCORE, MAX_SCORE = 0.95, 1.0
-#: Facet -> (levels, fields).
+#: Facet -> (levels, fields), the filters of the search interface.
 FACETS = {
     "language": (("func",), ("language_id",)),
     "name": (("func",), ("function_name", "file_name")),
@@ -75,54 +73,90 @@ def page(df: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = L
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
-def _targets(functions: DataFrame, files: DataFrame, sims: DataFrame, levels, fields, value: str) -> DataFrame:
-    """(sid) of the pairs that a value matches at any of the levels."""
-    found = []
-    ends = involves(sims)
+def _any_of(df: DataFrame, fields, value: str) -> Column:
+    out = F.lit(False)
+    for f in fields:
+        out = out | holds(df, f, value)
+    return out
 
-    def any_of(df: DataFrame) -> Column:
-        out = F.lit(False)
-        for f in fields:
-            out = out | holds(df, f, value)
-        return out
 
-    if "func" in levels:
-        found.append(ends.join(functions.where(any_of(functions)).select("collection", "function_id"), ["collection", "function_id"], "left_semi"))
-    if "file" in levels:
-        found.append(ends.join(files.where(any_of(files)).select("collection", "file_md5"), ["collection", "file_md5"], "left_semi"))
-    out = [f.select("sid") for f in found]
-    if "sim" in levels:
-        out.append(sims.where(any_of(sims)).select("sid"))
-    union = out[0]
-    for o in out[1:]:
-        union = union.union(o)
-    return union
+def _flagged(base: DataFrame, functions: DataFrame, files: DataFrame, asked: list[tuple]) -> DataFrame:
+    """The pairs of `base` that match every (levels, fields, value) asked for, at one of its
+    levels, on the pair or on either end.
+
+    However many are asked for, each end is looked up once among the matching functions and once
+    among the matching files, which carry a flag for each; all asked flags are then tested in
+    one filter."""
+    out, drop = base, []
+    for level, table, key in (("func", functions, "function_id"), ("file", files, "file_md5")):
+        wanted = [k for k, (levels, _, _) in enumerate(asked) if level in levels]
+        if not wanted:
+            continue
+        flags = table.select("collection", F.col(key).alias("__key"), *(_any_of(table, asked[k][1], asked[k][2]).alias(f"f{k}") for k in wanted))
+        some = F.lit(False)
+        for k in wanted:
+            some = some | F.col(f"f{k}")
+        flags = flags.where(some).groupBy("collection", "__key").agg(*(F.max(f"f{k}").alias(f"f{k}") for k in wanted))
+        for i in (1, 2):
+            end = f"id{i}" if level == "func" else f"md5_{i}"
+            own = flags.select("collection", F.col("__key").alias(end), F.struct(*(f"f{k}" for k in wanted)).alias(f"__{level}{i}"))
+            out = out.join(own, ["collection", end], "left")
+            drop.append(f"__{level}{i}")
+    for k, (levels, fields, value) in enumerate(asked):
+        hit = _any_of(base, fields, value) if "sim" in levels else F.lit(False)
+        for level in ("func", "file"):
+            if level in levels:
+                for i in (1, 2):
+                    hit = hit | F.coalesce(F.col(f"__{level}{i}.f{k}"), F.lit(False))
+        out = out.where(hit)
+    return out.select(*base.columns)
+
+
+def pair_pool(sims: DataFrame, collection: str, algo: str, min_score: float, max_score: float, pool_limit: int | None = None) -> DataFrame:
+    """The pairs of the score range that enter the filters: all, or the best-scored `pool_limit`
+    (POOL at most, see pool_status) of them."""
+    base = sims.where((F.col("collection") == collection) & (F.col("algo") == algo) & F.col("score").between(min_score, max_score))
+    if pool_limit is not None:
+        base = base.orderBy(F.col("score").desc(), F.col("sid")).limit(max(1, min(pool_limit, POOL)))
+    return base
 
 
 def search_pairs(sims: DataFrame, functions: DataFrame, files: DataFrame, collection: str, algo: str = "unweighted_cosine", min_score: float = MIN_SCORE, max_score: float = MAX_SCORE, facets: dict[str, str] | None = None, md5: Sequence[str] = (), q: str = "", min_features: int = 0, cross_binary: bool | None = None, pool_limit: int | None = None) -> DataFrame:
     """The matching pairs, unsorted. With `pool_limit` only the best-scored so many of the
-    score range enter the filters."""
-    base = sims.where((F.col("collection") == collection) & (F.col("algo") == algo) & F.col("score").between(min_score, max_score))
-    if pool_limit is not None:
-        base = base.orderBy(F.col("score").desc(), F.col("sid")).limit(max(1, min(pool_limit, POOL)))
+    score range enter the filters; pool_status tells whether that left any out."""
+    base = pair_pool(sims, collection, algo, min_score, max_score, pool_limit)
     if min_features:
         base = base.where(F.col("min_features") >= min_features)
     if cross_binary is not None:
         base = base.where(F.col("is_cross_binary") == ("true" if cross_binary else "false"))
-    out = base
-    for name, value in (facets or {}).items():
-        if value not in (None, ""):
-            levels, fields = FACETS[name]
-            out = out.join(_targets(functions, files, base, levels, fields, value), "sid", "left_semi")
-    for word in q.split():
-        out = out.join(_targets(functions, files, base, *WORDS, word), "sid", "left_semi")
-    wanted = sorted({m for m in md5 if m})
+    wanted = sorted({m.lower() for m in md5 if m})
     if wanted:
         hit = F.lit(False)
         for m in wanted:
-            hit = hit | F.contains(F.lower("file_md5"), F.lit(m.lower()))
-        out = out.join(involves(base).where(hit).select("sid"), "sid", "left_semi")
-    return out
+            for i in (1, 2):
+                hit = hit | F.contains(F.lower(F.col(f"md5_{i}")), F.lit(m))
+        base = base.where(hit)
+    asked = [(*FACETS[name], value) for name, value in (facets or {}).items() if value not in (None, "")]
+    asked += [(*WORDS, word) for word in q.split()]
+    return _flagged(base, functions, files, asked) if asked else base
+
+
+def pool_status(sims: DataFrame, collection: str, algo: str = "unweighted_cosine", min_score: float = MIN_SCORE, max_score: float = MAX_SCORE, pool_limit: int = POOL) -> DataFrame:
+    """One row: pool (the limit that counts, 1 to POOL), candidates (pairs of the score range that
+    enter the filters) and pool_truncated (whether they reach the limit)."""
+    limit = max(1, min(pool_limit, POOL))
+    all_ = pair_pool(sims, collection, algo, min_score, max_score).agg(F.count("*").alias("n"))
+    return all_.select(F.lit(limit).cast("long").alias("pool"), F.least("n", F.lit(limit)).cast("long").alias("candidates"), (F.col("n") >= limit).alias("pool_truncated"))
+
+
+def with_total(rows: DataFrame, hits: DataFrame, name: str = "total") -> DataFrame:
+    """A page with the number of all hits behind it, counted before paging."""
+    return rows.crossJoin(F.broadcast(hits.agg(F.count("*").alias(name))))  # one row
+
+
+def find(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The document of an id; the filter reaches the scan."""
+    return df.where(F.col(key) == value)
 
 
 def sort_metric(sort_by: str = "score") -> Column:

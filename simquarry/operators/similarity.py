@@ -9,10 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import pair_id
+from ..sources.scratch import written
 from .vectors import norms
 
 ALGOS = ("unweighted_cosine", "jaccard")
 TOP_K, MIN_SCORE = 1000, 0.3
+#: Functions of a feature from which on its pairs are dealt to several tasks.
+HOT = 20_000
+#: Least score from which on vectors are cut into head and tail; below it tails are all but empty.
+TAIL_FROM = 0.25
 
 
 def score(algo: str, dot: Column, least: Column, n2_a: Column, n2_b: Column, total_a: Column, total_b: Column) -> Column:
@@ -24,54 +29,164 @@ def score(algo: str, dot: Column, least: Column, n2_a: Column, n2_b: Column, tot
     return F.lit(0.0)
 
 
-def raw_pairs(vec: DataFrame, targets: DataFrame | None = None, max_df: int | None = None) -> DataFrame:
-    """Every two functions of a collection that share a feature: dot product, sum of minima,
-    norms and totals. id1 is the greater id.
-
-    The sides carry their norms, so the pairs need no join after the one on the feature. With
-    `targets` (collection, function_id), pairs without a target are never formed: the target side
-    is the small one. `max_df` drops features of more functions (off by default)."""
-    # A function's vector passes through one row, which brings its norms to its features in one
-    # shuffle; a join would compute the vectors twice.
-    whole = vec.groupBy("collection", "function_id").agg(F.collect_list(F.struct("hash", "tf")).alias("f"), F.sum(F.col("tf") * F.col("tf")).alias("n2"), F.sum("tf").alias("total"))
-    side = whole.select("collection", "function_id", "n2", "total", F.inline("f"))
+def _sides(vec: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, names): the vectors as a table (collection, hash, fn, tf, n2, total), in which a
+    number stands for each function and every feature carries its function's norms, and the
+    functions' names (fn, collection, function_id).
+
+    The norms come from a window over a function's rows, which spills, so no row holds a whole
+    vector. The numbers are hashes; that no two functions share one is checked, and names stand
+    in for numbers where some do."""
+    w = Window.partitionBy("collection", "function_id")
+    wide = vec.select("collection", "function_id", "hash", "tf", F.sum(F.col("tf") * F.col("tf")).over(w).alias("n2"), F.sum("tf").over(w).alias("total"), F.xxhash64("collection", "function_id").alias("fn"))
+    wide = written(wide, "pair-sides")
+    names = written(wide.select("fn", "collection", "function_id").distinct(), "pair-names")
+    if not names.groupBy("fn").count().where("count > 1").isEmpty():
+        name = F.concat_ws("\x00", "collection", "function_id")
+        wide, names = wide.withColumn("fn", name), names.withColumn("fn", name)
+    return wide.drop("function_id"), names
+
+
+def _dealt(rows: DataFrame, hot: DataFrame | None, first: bool) -> DataFrame:
+    """Rows with the cells of a grid (i, j) that their feature's pairs are dealt to: a row of block
+    x goes to all cells (x, *) as the first side, to all (*, x) as the second, so two rows meet in
+    one cell. Features that aren't hot have the one cell (0, 0)."""
+    if hot is None:
+        return rows.withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")})
+    blocks = F.coalesce("blocks", F.lit(1).cast("long"))
+    rows = rows.join(hot, ["collection", "hash"], "left").withColumn("block", F.pmod(F.xxhash64("fn"), blocks))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    i, j = ("block", "other") if first else ("other", "block")
+    return rows.withColumns({"i": F.col(i), "j": F.col(j)}).drop("block", "other", "blocks")
+
+
+def _cut(side: DataFrame, df: DataFrame, algo: str, least: float) -> DataFrame:
+    """The sides with `tail` and `rest`. A function's tail is its most frequent features, as many
+    as carry less than the share `least` of its length (cosine) or total (Jaccard); `rest` is what
+    they carry. Two functions that share tail features alone score below `least` squared, or below
+    `least`: such pairs are never wanted, and the most frequent features are in most tails."""
+    carried, whole = (F.col("tf") * F.col("tf"), least * least * F.col("n2")) if algo == ALGOS[0] else (F.col("tf"), least * F.col("total"))
+    w = Window.partitionBy("fn").orderBy(F.col("df").desc(), F.col("hash")).rowsBetween(Window.unboundedPreceding, 0)
+    side = side.join(df, ["collection", "hash"]).withColumn("sum", F.sum(carried).over(w))
+    side = side.withColumn("tail", F.col("sum") < whole * (1 - 1e-12)).withColumn("rest", F.max(F.when(F.col("tail"), F.col("sum")).otherwise(0)).over(Window.partitionBy("fn")))
+    return written(side.drop("df", "sum"), "pair-cut")
+
+
+def _may_reach(algo: str, least: float) -> Column:
+    """Whether a pair, whose sums lack what two tails share, may still reach the score."""
+    if algo == ALGOS[0]:
+        most = F.col("dot") + F.sqrt(F.col("rest_a").cast("double") * F.col("rest_b"))
+        return most >= least * F.sqrt(F.col("n2_a").cast("double") * F.col("n2_b")) * (1 - 1e-9)
+    most = F.col("least_sum") + F.least("rest_a", "rest_b")
+    return most * (1 + least) >= least * (F.col("total_a") + F.col("total_b")) * (1 - 1e-9)
+
+
+def _numbered_pairs(vec: DataFrame, targets: DataFrame | None, max_df: int | None, algo: str | None = None, least: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(pairs, names): raw_pairs by function number (a, b), each pair once. With `algo` and `least`,
+    pairs that can't reach that score may be left out; the others' sums are exact."""
+    side, names = _sides(vec)
+    df = side.groupBy("collection", "hash").agg(F.count("*").alias("df"))
     if max_df is not None:
-        w = Window.partitionBy("collection", "hash")
-        side = side.withColumn("__df", F.count("*").over(w)).where(F.col("__df") <= max_df).drop("__df")
-    cols = lambda k: [F.col("collection"), F.col("hash"), *(F.col(c).alias(f"{c}_{k}") for c in ("function_id", "tf", "n2", "total"))]
+        side = side.join(df.where(F.col("df") > max_df), ["collection", "hash"], "left_anti")
+        df = df.where(F.col("df") <= max_df)
+    # At most a row for each HOT rows of the vectors; Spark broadcasts it where it is small.
+    hot = written(df.where(F.col("df") > HOT).select("collection", "hash", F.ceil(F.col("df") / HOT).cast("long").alias("blocks")), "pair-hot")
+    hot = None if hot.isEmpty() else hot
+    cut = algo in ALGOS and least >= TAIL_FROM
+    if cut:
+        side = _cut(side, df, algo, least)
+    own_cols = ["fn", "tf", "n2", "total", *(["tail", "rest"] if cut else [])]
+    cols = lambda k: ["collection", "hash", "i", "j", *(F.col(c).alias(f"{c}_{k}") for c in own_cols)]
+    on = ["collection", "hash", "i", "j"] if hot is not None else ["collection", "hash"]
     if targets is None:
-        both = side.select(*cols("a")).join(side.select(*cols("b")), ["collection", "hash"]).where("function_id_a > function_id_b")
+        both = _dealt(side, hot, True).select(*cols("a")).join(_dealt(side, hot, False).select(*cols("b")), on).where("fn_a > fn_b")
     else:
-        own = side.join(targets.select("collection", "function_id").distinct(), ["collection", "function_id"], "left_semi")
-        flag = targets.select("collection", F.col("function_id").alias("function_id_b"), F.lit(True).alias("__t")).distinct()
-        other = side.select(*cols("b")).join(flag, ["collection", "function_id_b"], "left")
-        both = own.select(*cols("a")).join(other, ["collection", "hash"])
+        flag = names.join(targets.select("collection", "function_id").distinct(), ["collection", "function_id"], "left_semi").select("fn", F.lit(True).alias("t"))
+        own = side.join(flag, "fn", "left_semi")
+        other = side.join(flag, "fn", "left")
+        both = _dealt(own, hot, True).select(*cols("a")).join(_dealt(other, hot, False).select(*cols("b"), "t"), on)
         # A pair of two targets comes from its greater side only.
-        both = both.where("function_id_a <> function_id_b and (__t is null or function_id_a > function_id_b)")
-        swap = F.col("function_id_a") < F.col("function_id_b")
-        pick = [F.when(swap, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(f"{c}_a") for c in ("function_id", "tf", "n2", "total")]
-        pick += [F.when(swap, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{c}_b") for c in ("function_id", "tf", "n2", "total")]
-        both = both.select("collection", *pick)
-    keys = ["collection", "function_id_a", "function_id_b", "n2_a", "n2_b", "total_a", "total_b"]
-    return both.groupBy(*keys).agg(F.sum(F.col("tf_a") * F.col("tf_b")).alias("dot"), F.sum(F.least("tf_a", "tf_b")).alias("least_sum")).withColumnsRenamed({"function_id_a": "id1", "function_id_b": "id2"})
+        both = both.where("fn_a <> fn_b and (t is null or fn_a > fn_b)")
+    if cut:
+        both = both.where("not (tail_a and tail_b)")
+        if algo == ALGOS[1]:  # totals that differ too much can't overlap enough
+            both = both.where(F.least("total_a", "total_b") >= least * F.greatest("total_a", "total_b") * (1 - 1e-12))
+    sums = [F.sum(F.col("tf_a") * F.col("tf_b")).alias("dot"), F.sum(F.least("tf_a", "tf_b")).alias("least_sum")]
+    norms_ = [F.max(f"{c}_{k}").alias(f"{c}_{k}") for c in ("n2", "total", *(["rest"] if cut else [])) for k in ("a", "b")]
+    pairs = both.groupBy("fn_a", "fn_b").agg(*sums, *norms_)
+    if not cut:
+        return pairs, names
+    # The pairs that are left get what their tails share.
+    pairs = written(pairs.where(_may_reach(algo, least)).drop("rest_a", "rest_b"), "pair-candidates")
+    tails = side.where("tail")
+    tail = lambda k: tails.select(F.col("fn").alias(f"fn_{k}"), "hash", F.col("tf").alias(f"tf_{k}"))
+    more = pairs.select("fn_a", "fn_b").join(tail("a"), "fn_a").join(tail("b"), ["fn_b", "hash"]).groupBy("fn_a", "fn_b").agg(*sums).withColumnsRenamed({"dot": "more_dot", "least_sum": "more_least"})
+    out = pairs.join(more, ["fn_a", "fn_b"], "left")
+    out = out.withColumns({"dot": F.col("dot") + F.coalesce("more_dot", F.lit(0)), "least_sum": F.col("least_sum") + F.coalesce("more_least", F.lit(0))})
+    return out.drop("more_dot", "more_least"), names
+
+
+def _named(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs with their functions' names: id1 is the greater id, whose norms are those of a."""
+    one = names.select(F.col("fn").alias("fn_a"), "collection", F.col("function_id").alias("x"))
+    two = names.select(F.col("fn").alias("fn_b"), F.col("function_id").alias("y"))
+    out = pairs.join(one, "fn_a").join(two, "fn_b")
+    keep = F.col("x") > F.col("y")
+    pick = [F.when(keep, F.col(f"{c}_{k}")).otherwise(F.col(f"{c}_{o}")).alias(f"{c}_{k}") for c in ("n2", "total") for k, o in (("a", "b"), ("b", "a"))]
+    rest = [c for c in pairs.columns if c not in ("fn_a", "fn_b", "n2_a", "n2_b", "total_a", "total_b")]
+    return out.select("collection", F.greatest("x", "y").alias("id1"), F.least("x", "y").alias("id2"), *pick, *rest)
+
+
+def raw_pairs(vec: DataFrame, targets: DataFrame | None = None, max_df: int | None = None) -> DataFrame:
+    """Every two functions of a collection that share a feature: dot product, sum of minima,
+    norms and totals. id1 is the greater id.
+
+    The sides carry their norms, so the pairs need no join after the one on the feature, and are
+    added up under numbers, not names. The pairs of a feature that more than HOT functions have are
+    dealt to a grid of cells. With `targets` (collection, function_id), pairs without a target are
+    never formed: the target side is the small one. `max_df` drops features of more functions (off
+    by default)."""
+    return _named(*_numbered_pairs(vec, targets, max_df))
+
+
+def _above(pairs: DataFrame, algo: str, min_score: float) -> DataFrame:
+    """Pairs with `raw`, the unrounded score, where it is positive and at least `min_score`."""
+    value = score(algo, F.col("dot"), F.col("least_sum"), F.col("n2_a"), F.col("n2_b"), F.col("total_a"), F.col("total_b"))
+    return pairs.withColumn("raw", value).where((F.col("raw") >= min_score) & (F.col("raw") > 0)).drop("dot", "least_sum")
+
+
+def _shown(pairs: DataFrame) -> DataFrame:
+    return pairs.select("collection", "id1", "id2", F.round("raw", 4).alias("score"), F.col("total_a").alias("feat_count1"), F.col("total_b").alias("feat_count2"), F.least("total_a", "total_b").alias("min_features"))
 
 
 def scored(pairs: DataFrame, algo: str, min_score: float = 0.0) -> DataFrame:
     """collection, id1, id2, score (4 decimals), feat_count1, feat_count2, min_features of the
     pairs whose unrounded score is positive and at least `min_score`."""
-    value = score(algo, F.col("dot"), F.col("least_sum"), F.col("n2_a"), F.col("n2_b"), F.col("total_a"), F.col("total_b"))
-    out = pairs.withColumn("raw", value).where((F.col("raw") >= min_score) & (F.col("raw") > 0))
-    return out.select("collection", "id1", "id2", F.round("raw", 4).alias("score"), F.col("total_a").alias("feat_count1"), F.col("total_b").alias("feat_count2"), F.least("total_a", "total_b").alias("min_features"))
+    return _shown(_above(pairs, algo, min_score))
 
 
-def top_k(pairs: DataFrame, k: int = TOP_K, targets: DataFrame | None = None) -> DataFrame:
-    """(target, candidate, score, rank): each target's k best, ties by candidate id."""
-    cols = ["collection", "score"]
-    both = pairs.select(*cols, F.col("id1").alias("target"), F.col("id2").alias("candidate")).unionByName(pairs.select(*cols, F.col("id2").alias("target"), F.col("id1").alias("candidate")))
+def scored_pairs(vec: DataFrame, algo: str = ALGOS[0], min_score: float = 0.0, targets: DataFrame | None = None, max_df: int | None = None) -> DataFrame:
+    """scored(raw_pairs(...)), but for the work on pairs below the threshold: features that lie in
+    both functions' tails aren't joined, and other pairs are dropped before the names are."""
+    pairs, names = _numbered_pairs(vec, targets, max_df, algo, min_score)
+    return _shown(_named(_above(pairs, algo, min_score), names))
+
+
+def _ranked(pairs: DataFrame, k: int, targets: DataFrame | None) -> DataFrame:
+    """The pairs once for each end, with target, candidate and rank, where the rank is k at most.
+    One pass over the pairs: a row is turned into its two ends."""
+    end = lambda t, c: F.struct(F.col(t).alias("target"), F.col(c).alias("candidate"))
+    both = pairs.select("*", F.inline(F.array(end("id1", "id2"), end("id2", "id1"))))
     if targets is not None:
         both = both.join(targets.select("collection", F.col("function_id").alias("target")).distinct(), ["collection", "target"], "left_semi")
     w = Window.partitionBy("collection", "target").orderBy(F.col("score").desc(), F.col("candidate"))
-    return both.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def top_k(pairs: DataFrame, k: int = TOP_K, targets: DataFrame | None = None) -> DataFrame:
+    """(target, candidate, score, rank): each target's k best, ties by candidate id."""
+    ranked = _ranked(pairs.select("collection", "id1", "id2", "score"), k, targets)
+    return ranked.select("collection", "target", "score", "candidate", F.col("rank").cast("long").alias("rank"))
 
 
 def build_pairs(vec: DataFrame, functions: DataFrame, algo: str = ALGOS[0], k: int = TOP_K, min_score: float = MIN_SCORE, targets: DataFrame | None = None) -> DataFrame:
@@ -79,9 +194,9 @@ def build_pairs(vec: DataFrame, functions: DataFrame, algo: str = ALGOS[0], k: i
 
     `targets` restricts the build (incremental builds pass the functions that aren't built);
     candidates are all functions. The rank uses the rounded score, the threshold the exact one."""
-    found = scored(raw_pairs(vec, targets), algo, min_score)
-    kept = top_k(found, k, targets).select("collection", F.greatest("target", "candidate").alias("id1"), F.least("target", "candidate").alias("id2")).distinct()
-    out = found.join(kept, ["collection", "id1", "id2"], "left_semi")
+    found = scored_pairs(vec, algo, min_score, targets)
+    # A pair that is in both ends' lists comes twice, with the same values.
+    out = _ranked(found, k, targets).groupBy("collection", "id1", "id2").agg(*(F.max(c).alias(c) for c in ("score", "feat_count1", "feat_count2", "min_features")))
     md5 = functions.select("collection", "function_id", "file_md5")
     out = out.join(md5.select("collection", F.col("function_id").alias("id1"), F.col("file_md5").alias("md5_1")), ["collection", "id1"], "left")
     out = out.join(md5.select("collection", F.col("function_id").alias("id2"), F.col("file_md5").alias("md5_2")), ["collection", "id2"], "left")
@@ -112,12 +227,16 @@ def incremental_build(vec: DataFrame, functions: DataFrame, sims: DataFrame, bui
 
 
 def clear_pairs(sims: DataFrame, targets: DataFrame, algo: str | None = None) -> DataFrame:
-    """`sims` without the pairs (of `algo`, or of all) that touch a target function."""
+    """`sims` without the pairs (of `algo`, or of all) that touch a target function; one pass, in
+    which either end is looked up."""
     t = targets.select("collection", "function_id").distinct()
-    gone = sims.join(t.withColumnRenamed("function_id", "id1"), ["collection", "id1"], "left_semi").select("sid").union(sims.join(t.withColumnRenamed("function_id", "id2"), ["collection", "id2"], "left_semi").select("sid"))
+    out = sims
+    for i in (1, 2):
+        out = out.join(t.select("collection", F.col("function_id").alias(f"id{i}"), F.lit(True).alias(f"__t{i}")), ["collection", f"id{i}"], "left")
+    touched = F.col("__t1").isNotNull() | F.col("__t2").isNotNull()
     if algo is not None:
-        gone = gone.join(sims.where(F.col("algo") == algo).select("sid"), "sid", "left_semi")
-    return sims.join(gone.distinct(), "sid", "left_anti")
+        touched = touched & (F.col("algo") == algo)
+    return out.where(~touched).select(*sims.columns)
 
 
 def rebuild(vec: DataFrame, functions: DataFrame, sims: DataFrame, built: DataFrame, targets: DataFrame, algo: str = ALGOS[0], **how) -> tuple[DataFrame, DataFrame]:

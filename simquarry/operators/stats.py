@@ -14,7 +14,12 @@ def progress(functions: DataFrame, done: DataFrame, by: list[str], word: str = "
     marked = functions.join(done.select("collection", "function_id", F.lit(1).alias("__d")).distinct(), ["collection", "function_id"], "left")
     n, d = F.count("*"), F.count("__d")
     out = marked.groupBy(*by).agg(n.alias("total"), d.alias(word), F.greatest(F.lit(0), n - d).alias(f"un{word}"))
-    return out.withColumn("ratio", ratio(F.col(word), F.col("total")))
+    return out.withColumn("ratio", ratio(F.col(word), F.col("total"))).orderBy(*by)
+
+
+def pair_counts(sims: DataFrame, algos: tuple[str, ...] = ("unweighted_cosine", "jaccard")) -> DataFrame:
+    """One row per collection: the number of pairs of each algorithm, as sims_<algo>."""
+    return sims.groupBy("collection").agg(*(F.count_if(F.col("algo") == a).alias(f"sims_{a}") for a in algos))
 
 
 def index_summary(files: DataFrame, functions: DataFrame, indexed: DataFrame, vec: DataFrame, sims: DataFrame) -> DataFrame:
@@ -54,6 +59,6 @@ def registry(posted: DataFrame) -> DataFrame:
     return each.groupBy("level", "field").agg(F.count("*").alias("buckets"), F.sum("n").alias("postings"), (F.sum("n") / F.count("*")).alias("avg_postings"), F.max_by("value", F.struct("n", "value")).alias("example"))
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """`n` rows, the same for the same rows and seed."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *df.columns)).limit(n)
+def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """`n` rows by a hash of their key, the same for the same keys and seed."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)

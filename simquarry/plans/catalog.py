@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, values
-from ..operators import align, features, jobs, search, similarity, state, stats, tags, vectors
+from ..operators import align, features, ingest, jobs, search, similarity, state, stats, tags, vectors
 from ..sources import tables as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,10 +55,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _raw(s, d):
-    return similarity.raw_pairs(src.customer_vectors(s, d))
-
-
 def _sims(s, d):
     return similarity.build_pairs(src.customer_vectors(s, d), src.customer_functions(s, d), min_score=MIN)
 
@@ -103,12 +99,12 @@ def feature_tf_score(s, d):
 
 @query(f"WITH {VEC}, {NORM}, {RAW} SELECT id1, id2, round({COS}, 4) AS score FROM raw")
 def pair_cosine(s, d):
-    return similarity.scored(_raw(s, d), "unweighted_cosine").select("id1", "id2", "score")
+    return similarity.scored_pairs(src.customer_vectors(s, d)).select("id1", "id2", "score")
 
 
 @query(f"WITH {VEC}, {NORM}, {RAW} SELECT id1, id2, round({JAC}, 4) AS score FROM raw")
 def pair_jaccard(s, d):
-    return similarity.scored(_raw(s, d), "jaccard").select("id1", "id2", "score")
+    return similarity.scored_pairs(src.customer_vectors(s, d), "jaccard").select("id1", "id2", "score")
 
 
 _BOTH = "bth AS (SELECT id1 AS target, id2 AS candidate, score FROM sc UNION ALL SELECT id2, id1, score FROM sc), rk AS (SELECT target, candidate, score, row_number() OVER (PARTITION BY target ORDER BY score DESC, candidate) AS rank FROM bth)"
@@ -116,13 +112,12 @@ _BOTH = "bth AS (SELECT id1 AS target, id2 AS candidate, score FROM sc UNION ALL
 
 @query(f"WITH {DVEC}, {NORM}, {RAW}, sc AS (SELECT id1, id2, round({COS}, 4) AS score FROM raw WHERE {COS} >= 0.3), {_BOTH} SELECT target, candidate, score, CAST(rank AS BIGINT) AS rank FROM rk WHERE rank <= 5")
 def pair_cosine_docs_topk(s, d):
-    found = similarity.scored(similarity.raw_pairs(src.document_vectors(s, d)), "unweighted_cosine", 0.3)
-    return similarity.top_k(found, 5).select("target", "candidate", "score", "rank")
+    return similarity.top_k(similarity.scored_pairs(src.document_vectors(s, d), "unweighted_cosine", 0.3), 5).select("target", "candidate", "score", "rank")
 
 
 @query(f"WITH {VEC}, {NORM}, {RAW}, sc AS (SELECT id1, id2, round({JAC}, 4) AS score FROM raw WHERE {JAC} >= 0.05), {_BOTH} SELECT target, candidate, score, CAST(rank AS BIGINT) AS rank FROM rk WHERE rank <= 3")
 def topk_per_target(s, d):
-    return similarity.top_k(similarity.scored(_raw(s, d), "jaccard", 0.05), 3).select("target", "candidate", "score", "rank")
+    return similarity.top_k(similarity.scored_pairs(src.customer_vectors(s, d), "jaccard", 0.05), 3).select("target", "candidate", "score", "rank")
 
 
 @query(BASE + "SELECT sid, id1, id2, score, md5_1, md5_2, ta AS feat_count1, tb AS feat_count2, min_features, is_cross_binary FROM sims")
@@ -304,9 +299,10 @@ def file_search_with_totals(s, d):
 @query(f"WITH {ORD} SELECT batch_uuid, 'main:batch:' || batch_uuid AS batch_id, CAST(count(DISTINCT file_md5) AS BIGINT) AS total_files, CAST(count(*) AS BIGINT) AS total_functions, min(entry_date) AS created_at, max(entry_date) AS last_updated FROM od GROUP BY 1 ORDER BY last_updated DESC, batch_uuid LIMIT 100")
 def batch_search_recent(s, d):
     f = src.order_functions(s, d)
-    files = f.groupBy("collection", "batch_uuid", "file_md5").agg(F.count("*").alias("n_functions"), F.min("entry_date").alias("first"), F.max("entry_date").alias("last"))
-    rows = files.groupBy("collection", "batch_uuid").agg(F.count("*").alias("total_files"), F.sum("n_functions").alias("total_functions"), F.min("first").alias("created_at"), F.max("last").alias("last_updated"))
-    rows = rows.withColumn("batch_id", ids.batch_id(F.col("collection"), F.col("batch_uuid"))).drop("collection")
+    # A file for each customer and batch, with the time of its newest order.
+    files = f.groupBy("collection", "batch_uuid", "file_md5").agg(F.count("*").alias("n_functions"), F.min("entry_date").alias("first"), F.max("entry_date").alias("entry_date")).withColumn("batch_name", F.col("batch_uuid"))
+    first = files.groupBy("batch_uuid").agg(F.min("first").alias("first"))
+    rows = ingest.batches(files).join(first, "batch_uuid").withColumn("created_at", F.col("first")).drop("collection", "first", "name")
     return search.page(rows, [F.coalesce("last_updated", F.lit(0)).desc(), F.col("batch_uuid")])
 
 
@@ -314,8 +310,8 @@ def batch_search_recent(s, d):
 def collection_search(s, d):
     f = src.customer_functions(s, d)
     rows = f.join(src.table(s, d, "region"), F.col("batch_uuid") == F.col("r_regionkey").cast("string"))
-    files = rows.groupBy(F.col("r_name").alias("collection"), "file_md5").agg(F.count("*").alias("n"), F.max("c_custkey").alias("last"))
-    out = files.groupBy("collection").agg(F.count("*").alias("total_files"), F.sum("n").alias("total_functions"), F.max("last").alias("last_updated"))
+    files = rows.groupBy(F.col("r_name").alias("collection"), "file_md5").agg(F.count("*").alias("n_functions"), F.max("c_custkey").alias("entry_date"))
+    out = ingest.collections(files)
     return search.page(out, [F.col("collection")])
 
 
@@ -338,31 +334,16 @@ for _word in ("built", "indexed"):
         _status(_by, _word)
 
 
-@query(f"""WITH {FN}, {VEC}, t AS (SELECT CAST(count(DISTINCT file_md5) AS BIGINT) AS num_files, CAST(count(*) AS BIGINT) AS num_functions, CAST(count(*) FILTER (WHERE c_acctbal > 0) AS BIGINT) AS num_indexed FROM fn)
-  SELECT 'main' AS collection, num_files, num_functions, num_indexed, (SELECT CAST(count(DISTINCT hash) AS BIGINT) FROM vec) AS num_features, (SELECT CAST(count(*) AS BIGINT) FROM vec WHERE tf > 1) AS num_sim_meta, num_functions - num_indexed AS num_missing, num_indexed / num_functions * 100.0 AS indexing_ratio FROM t""")
-def index_status_missing(s, d):
-    """Repeated features stand in for the pair table, which only its row count enters."""
-    f, v = src.customer_functions(s, d), src.customer_vectors(s, d)
-    return stats.index_summary(src.files_of(f), f, f.where("c_acctbal > 0"), v, v.where("tf > 1"))
-
-
 @query(f"""{BASE.rstrip()}, t AS (SELECT CAST(count(DISTINCT file_md5) AS BIGINT) AS num_files, CAST(count(*) AS BIGINT) AS num_functions, CAST(count(*) FILTER (WHERE c_acctbal > 0) AS BIGINT) AS num_indexed FROM fn)
   SELECT 'main' AS collection, num_files, num_functions, num_indexed, (SELECT CAST(count(DISTINCT hash) AS BIGINT) FROM vec) AS num_features, (SELECT CAST(count(*) AS BIGINT) FROM sims) AS num_sim_meta, num_functions - num_indexed AS num_missing, num_indexed / num_functions * 100.0 AS indexing_ratio FROM t""")
-def index_status_pairs(s, d):
-    """index_status_missing with the pair table of a build."""
+def index_status_missing(s, d):
     f, v = src.customer_functions(s, d), src.customer_vectors(s, d)
     return stats.index_summary(src.files_of(f), f, f.where("c_acctbal > 0"), v, _sims(s, d))
 
 
-@query("""SELECT 'pages' AS component, CAST(count(*) AS BIGINT) AS count, avg(z) AS avg_size, CAST(sum(z) AS BIGINT) AS total_size FROM (SELECT octet_length(encode('{"page_id":' || page_id || ',"url":"' || url || '"}')) AS z FROM pages)
-  UNION ALL SELECT 'labels', count(*), avg(z), CAST(sum(z) AS BIGINT) FROM (SELECT octet_length(encode('{"doc_id":' || doc_id || ',"quality":' || quality || ',"toxic":' || toxic || '}')) AS z FROM labels)""")
-def storage_breakdown(s, d):
-    return stats.storage({"pages": src.table(s, d, "pages").select("page_id", "url"), "labels": src.table(s, d, "labels").select("doc_id", "quality", "toxic")})
-
-
 @query("""SELECT 'pages' AS component, CAST(count(*) AS BIGINT) AS count, avg(z) AS avg_size, CAST(sum(z) AS BIGINT) AS total_size FROM (SELECT octet_length(encode(CAST(json_object('page_id', page_id, 'url', url, 'html', html) AS VARCHAR))) AS z FROM pages)
   UNION ALL SELECT 'labels', count(*), avg(z), CAST(sum(z) AS BIGINT) FROM (SELECT octet_length(encode(CAST(json_object('doc_id', doc_id, 'quality', quality, 'toxic', toxic) AS VARCHAR))) AS z FROM labels)""")
-def storage_whole_rows(s, d):
+def storage_breakdown(s, d):
     return stats.storage({name: src.table(s, d, name) for name in ("pages", "labels")})
 
 
@@ -406,13 +387,6 @@ def feature_search_default(s, d):
 _CTX = "ctx AS (SELECT function_id, hash, pos FROM (SELECT *, row_number() OVER (PARTITION BY function_id, hash ORDER BY pos DESC) AS n FROM docc) WHERE n = 1)"
 
 
-@query(f"WITH {VEC}, own AS (SELECT * FROM vec WHERE hash = '7') SELECT function_id, tf, (SELECT CAST(count(*) AS BIGINT) FROM own) AS occurrence_count, (SELECT CAST(sum(tf) AS BIGINT) FROM own) AS total_occurrences FROM own ORDER BY function_id LIMIT 1000")
-def feature_details_page(s, d):
-    v = src.customer_vectors(s, d)
-    blank = v.select("collection", "function_id", "hash", *(F.lit(None).cast("string").alias(c) for c in ("type", "pcode_op", "pcode_op_full", "seq")), F.array(F.lit(0)).alias("line_idx"))
-    return features.feature_details(v, blank, blank, "7").select("function_id", "tf", "occurrence_count", "total_occurrences")
-
-
 @query(f"WITH {DVEC}, {_CTX} SELECT function_id, hash, CAST(pos AS BIGINT) AS pos FROM ctx")
 def feature_context_last_wins(s, d):
     return vectors.last_context(src.document_occurrences(s, d)).select("function_id", "hash", "pos")
@@ -499,13 +473,14 @@ def csv_tags_normalise(s, d):
     return src.table(s, d, "part").select("p_partkey", F.array_join(t, "|").alias("tags"), F.size(t).cast("long").alias("n"), F.size(ids.split_tags(F.lit(" "))).cast("long").alias("blank"))
 
 
-@query("""SELECT o_orderkey, 'idx:main:func:' || o_custkey || ':' || lower(hex(o_orderkey)) AS function_id, 'idx:main:file:' || o_custkey AS file_id, lower(hex(o_orderkey)) AS address, CAST(o_custkey AS VARCHAR) AS md5, 'unknown_addr' AS missing,
-  'idx:main:sim:jaccard:idx:main:func:9:1:idx:main:func:' || o_custkey || ':' || lower(hex(o_orderkey)) AS sid, 'main:function:' || o_custkey || ':' || lower(hex(o_orderkey)) AS legacy FROM (SELECT * FROM orders WHERE CAST(o_custkey AS VARCHAR) < '9')""")
-def id_parse_build(s, d):
-    return _id_parse_build(src.table(s, d, "orders").where(F.col("o_custkey").cast("string") < "9"))
+_FID = "'idx:main:func:' || o_custkey || ':' || lower(hex(o_orderkey))"
 
 
-def _id_parse_build(o):
+@query(f"""SELECT o_orderkey, {_FID} AS function_id, 'idx:main:file:' || o_custkey AS file_id, lower(hex(o_orderkey)) AS address, CAST(o_custkey AS VARCHAR) AS md5, 'unknown_addr' AS missing,
+  'idx:main:sim:jaccard:' || greatest('idx:main:func:9:1', {_FID}) || ':' || least('idx:main:func:9:1', {_FID}) AS sid, 'main:function:' || o_custkey || ':' || lower(hex(o_orderkey)) AS legacy FROM orders""")
+def id_parse_build(s, d):
+    """Ids of every order; the pair ids' two ends come in either order."""
+    o = src.table(s, d, "orders")
     md5 = F.col("o_custkey").cast("string")
     full = F.concat(md5, F.lit(":#"), md5, F.lit("::f:@x::g:@"), ids.hex32(F.col("o_orderkey")))
     fid = ids.function_id(F.lit("main"), md5, ids.address_of(full))
@@ -514,16 +489,6 @@ def _id_parse_build(o):
         ids.pair_id(F.lit("main"), F.lit("jaccard"), fid, F.lit("idx:main:func:9:1")).alias("sid"), ids.legacy_function_id(F.concat(F.lit("main:#"), md5, F.lit("::f:@"), ids.last_part(fid))).alias("legacy"))
 
 
-_FID = "'idx:main:func:' || o_custkey || ':' || lower(hex(o_orderkey))"
-
-
-@query(f"""SELECT o_orderkey, {_FID} AS function_id, 'idx:main:file:' || o_custkey AS file_id, lower(hex(o_orderkey)) AS address, CAST(o_custkey AS VARCHAR) AS md5, 'unknown_addr' AS missing,
-  'idx:main:sim:jaccard:' || greatest('idx:main:func:9:1', {_FID}) || ':' || least('idx:main:func:9:1', {_FID}) AS sid, 'main:function:' || o_custkey || ':' || lower(hex(o_orderkey)) AS legacy FROM orders""")
-def id_parse_build_all(s, d):
-    """id_parse_build over every order, with pair ids in either order."""
-    return _id_parse_build(src.table(s, d, "orders"))
-
-
 # ------------------------------------------------------------------ jobs
 
 @query(f"""WITH {JOBS}, r AS (SELECT CAST(count(*) FILTER (WHERE status = 'running') AS BIGINT) AS active_workers, CAST(count(*) FILTER (WHERE status = 'pending') AS BIGINT) AS pending_jobs, CAST(sum(100 - processed_items) FILTER (WHERE status = 'running') AS BIGINT) AS remaining_items,

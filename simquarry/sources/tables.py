@@ -109,3 +109,57 @@ def event_ops(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     cat = F.when(F.col("event_type").isin("click", "view"), "db_queries").when(F.col("event_type") == "error", "lua_scripts").otherwise("pure_python")
     return e.select(F.col("event_id").alias("op_id"), F.col("user_id").alias("job_id"), F.col("event_type").alias("op"), cat.alias("cat"), F.col("value").alias("time"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
+
+
+def order_uploads(spark: SparkSession, d: str) -> DataFrame:
+    """Upload documents, one for each order: the order is the file and its one function, its line
+    items are the tokens and the feature occurrences. Line numbers repeat and leave gaps, values are
+    missing, and token references come as a list or a number, as in real uploads."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    # An order has a handful of items.
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity")
+    items = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    rows = o.join(items, o["o_orderkey"] == items["l_orderkey"], "left").withColumn("items", F.coalesce("items", F.array().cast(items.schema["items"].dataType)))
+    key, md5 = F.col("o_orderkey"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
+    line = lambda x: (x["l_linenumber"] - 1).cast("long")
+    addr = lambda x: F.lower(F.hex(x["l_suppkey"]))
+    hash_of = lambda x: F.concat(F.lit("p"), F.pmod(x["l_partkey"], F.lit(100)).cast("string"))
+    none = lambda kind="string": F.lit(None).cast(kind)
+    tokens = F.transform("items", lambda x, k: F.struct(
+        F.concat(x["l_returnflag"], x["l_suppkey"].cast("string")).alias("t"), x["l_linestatus"].alias("type"), line(x).alias("line"), addr(x).alias("addr"), k.cast("long").alias("pcode_time"), F.concat(F.lit("q"), k.cast("string")).alias("seq")))
+    meta = F.transform("items", lambda x, k: F.struct(
+        hash_of(x).alias("hash"), x["l_returnflag"].alias("type"), F.concat(F.lit("OP"), x["l_linestatus"]).alias("pcode_op"),
+        F.when(F.pmod(x["l_linenumber"], F.lit(2)) == 1, F.concat(F.lit("FULL"), x["l_suppkey"].cast("string"))).alias("pcode_op_full"), none().alias("previous_pcode_op"), none().alias("previous_seq"),
+        F.array(line(x)).alias("line_idx"), F.array().cast("array<long>").alias("seq_to_token_idx"), F.when(k % 2 == 0, F.concat(F.lit("["), k.cast("string"), F.lit("]"))).otherwise(k.cast("string")).alias("addr_to_token_idx"),
+        addr(x).alias("addr"), none("long").alias("seq_time"), F.when(x["l_quantity"] > 25, F.concat(F.lit("s"), k.cast("string"))).alias("seq"), F.lit(0).cast("long").alias("block_index"), none().alias("pcode_block")))
+    hashes = F.transform("items", hash_of)
+    tf = F.transform(F.array_distinct(hashes), lambda h: F.struct(h.alias("hash"), F.size(F.filter(hashes, lambda y: y == h)).cast("long").alias("tf")))
+    lines = F.array_distinct(F.transform("items", line))
+    line_addr = F.map_from_entries(F.transform(lines, lambda n: F.struct(n.cast("string").alias("key"), F.transform(F.filter("items", lambda x: line(x) == n), addr).alias("value"))))
+    when = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    n = F.size("items").cast("long")
+    empty = lambda: F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<bigint>>"))
+    function = F.struct(
+        F.struct(
+            F.lit("function").alias("type"), F.concat(F.lit("fn_"), key.cast("string")).alias("function_name"), none().alias("calling_convention"), none().alias("decompiler_id"), when.alias("entry_date"), when.alias("file_date"),
+            F.lit("").alias("file_md5"), F.concat(md5, F.lit(".bin")).alias("file_name"), none().alias("batch_uuid"), none().alias("batch_name"), F.col("o_orderstatus").alias("language_id"),
+            F.concat(F.lit("m:#m::f:@"), F.lower(F.hex(key))).alias("full_id"), F.array(F.col("o_orderstatus")).alias("tags"), F.array().cast("array<string>").alias("labels"), n.alias("instruction_count"), (key % 10 == 0).alias("is_thunk"),
+            none().alias("return_type"), none().alias("entrypoint_address"), n.alias("bsim_features_count"), F.size(F.array_distinct(hashes)).cast("long").alias("bsim_unique_features_count")).alias("function_metadata"),
+        F.struct(F.array().cast("array<string>").alias("c_lines"), tokens.alias("c_tokens"), empty().alias("addr_to_line"), empty().alias("addr_to_token"), empty().alias("seq_to_token"), empty().alias("line_to_token"), line_addr.alias("line_to_addr")).alias("function_source"),
+        F.struct(meta.alias("bsim_features_meta"), hashes.alias("bsim_features_raw"), tf.alias("bsim_features_tf"), n.alias("bsim_features_count"), F.size(F.array_distinct(hashes)).cast("long").alias("bsim_unique_features_count")).alias("function_features"))
+    file = F.struct(
+        when.alias("entry_date"), when.alias("file_date"), none().alias("file_md5"), F.when(key % 7 == 0, "").otherwise(F.concat(md5, F.lit(".bin"))).alias("file_name"), F.col("o_orderpriority").alias("batch_uuid"),
+        none().alias("batch_name"), none("long").alias("batch_order"), F.array(F.col("o_orderpriority")).alias("tags"), F.col("o_orderstatus").alias("language_id"), none().alias("file_id"))
+    return rows.select(F.lit("").alias("collection"), md5.alias("file_md5"), file.alias("file_metadata"), F.array(function).alias("functions"))
+
+
+def nation_uploads(spark: SparkSession, d: str) -> DataFrame:
+    """Upload documents, one for each region, whose functions are its nations (25 in all, at every
+    scale). A nation's features are the digits and the parities of the numbers up to its key."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    digits = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_nationkey").cast("long")), lambda k: F.concat(F.lit("k"), F.pmod(k * 7 + F.col("n_regionkey"), F.lit(11)).cast("string")))
+    tf = F.transform(F.array_distinct(digits), lambda h: F.struct(h.alias("hash"), F.size(F.filter(digits, lambda y: y == h)).cast("long").alias("tf")))
+    meta = F.struct(F.col("n_name").alias("function_name"), F.concat(F.lit("m:#m::f:@"), F.lower(F.hex(F.col("n_nationkey").cast("long")))).alias("full_id"), F.lit("x").alias("language_id"))
+    functions = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct(meta.alias("function_metadata"), F.struct(tf.alias("bsim_features_tf")).alias("function_features")))).alias("functions"))
+    rows = r.join(functions, r["r_regionkey"] == functions["n_regionkey"])
+    return rows.select(F.lit("main").alias("collection"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("file_md5"), F.struct(F.col("r_name").alias("file_name"), F.lit("b").alias("batch_uuid")).alias("file_metadata"), "functions")

@@ -45,9 +45,19 @@ def stream_uploads(spark: SparkSession, path: str, files_per_batch: int = 100) -
     return spark.readStream.schema(UPLOAD).option("maxFilesPerTrigger", files_per_batch).json(path, multiLine=True)
 
 
-def write_uploads(uploads: DataFrame, path: str) -> None:
-    """The dump sink: JSON lines, a folder for each file md5."""
-    uploads.withColumn("md5", F.col("file_md5")).write.mode("overwrite").partitionBy("md5").json(path)
+def write_uploads(uploads: DataFrame, path: str, folders: int | None = 256) -> None:
+    """The dump sink: JSON lines in a bounded number of folders by the digest of the file md5, or,
+    with folders=None, in a folder for each file (for a few files that people look at)."""
+    at = F.col("file_md5") if folders is None else F.pmod(F.xxhash64("file_md5"), F.lit(folders))
+    rows = uploads.withColumn("at", at)
+    if folders is not None:
+        rows = rows.repartition("at")  # one task, and so one file, for each folder
+    rows.write.mode("overwrite").partitionBy("at").json(path)
+
+
+def read_dump(spark: SparkSession, path: str) -> DataFrame:
+    """The upload documents of a dump."""
+    return spark.read.schema(UPLOAD).json(path)
 
 
 def upload_key(uploads: DataFrame) -> DataFrame:

@@ -23,9 +23,9 @@ def test_every_sql_has_a_query():
 
 def test_whole_tables(spark, data):
     run = lambda name: catalog.QUERIES[name](spark, data)
-    built = run("id_parse_build_all")
+    built = run("id_parse_build")
     assert built.count() == spark.read.parquet(f"{data}/orders.parquet").count()
     assert not built.where("sid like 'idx:main:sim:jaccard:idx:main:func:9%:idx:main:func:9:1'").isEmpty()
     assert not built.where("sid like 'idx:main:sim:jaccard:idx:main:func:9:1:%'").isEmpty()
-    assert run("index_status_pairs").first()["num_sim_meta"] == run("canonical_pairs").count()
-    assert run("storage_whole_rows").where("component = 'pages'").first()["total_size"] > spark.read.parquet(f"{data}/pages.parquet").selectExpr("sum(octet_length(html))").first()[0]
+    assert run("index_status_missing").first()["num_sim_meta"] == run("canonical_pairs").count()
+    assert run("storage_breakdown").where("component = 'pages'").first()["total_size"] > spark.read.parquet(f"{data}/pages.parquet").selectExpr("sum(octet_length(html))").first()[0]

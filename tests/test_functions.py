@@ -1,5 +1,6 @@
 """Expressions and small operators on hand-made rows."""
 
+import math
 import random
 
 import pytest
@@ -81,7 +82,7 @@ def test_upsert_and_delete(spark, vectors):
     assert left["functions"].where("file_md5 = 'm1'").count() == left["vec"].where("function_id like '%:m1:%'").count() == left["sims"].where("md5_1 = 'm1' or md5_2 = 'm1'").count() == 0
     assert left["sims"].count() == sims.where("md5_1 <> 'm1' and md5_2 <> 'm1'").count() > 0
     assert state.delete_prefix(funcs, "function_id", "idx:").count() == 0
-    assert stats.sample_rows(funcs, 5, 1).collect() == stats.sample_rows(funcs.repartition(7), 5, 1).collect()
+    assert stats.sample_rows(funcs, 5, "function_id", 1).collect() == stats.sample_rows(funcs.repartition(7), 5, "function_id", 1).collect()
     vec, indexed = state.clear_features(df, funcs, state.targets_of(funcs, md5="m2"))
     assert vec.where("function_id like '%:m2:%'").count() == indexed.where("file_md5 = 'm2'").count() == 0
 
@@ -98,3 +99,46 @@ def test_queue_order(spark):
     rows = [("b", "pending", 2), ("a", "pending", 2), ("c", "cancelled", 1), ("d", "pending", 1)]
     got = jobs.runnable(spark.createDataFrame(rows, "id string, status string, created_at long")).collect()
     assert [r.id for r in got] == ["d", "a", "b"]
+
+
+def plain_pairs(rows, algo, least):
+    """Scores of all pairs by definition."""
+    vec = {}
+    for _, fid, h, tf in rows:
+        vec.setdefault(fid, {})[h] = tf
+    out = {}
+    for a in vec:
+        for b in vec:
+            if a > b and set(vec[a]) & set(vec[b]):
+                dot, low = sum(vec[a][h] * vec[b].get(h, 0) for h in vec[a]), sum(min(vec[a][h], vec[b].get(h, 0)) for h in vec[a])
+                n2 = [math.sqrt(sum(x * x for x in vec[i].values())) for i in (a, b)]
+                value = dot / (n2[0] * n2[1]) if algo == "unweighted_cosine" else low / (sum(vec[a].values()) + sum(vec[b].values()) - low)
+                if value >= least:
+                    out[a, b] = round(value, 4)
+    return out
+
+
+@pytest.mark.parametrize("algo", similarity.ALGOS)
+@pytest.mark.parametrize("least", [0.1, 0.3, 0.5, 0.8])
+def test_cut_vectors_and_hot_features_lose_no_pair(spark, monkeypatch, algo, least):
+    rng = random.Random(int(least * 10))
+    monkeypatch.setattr(similarity, "HOT", 7)
+    rows = []
+    for i in range(40):
+        for h in {*rng.sample(["hot1", "hot2", "hot3"], 2), *(f"h{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(1, 25)))}:
+            rows.append(("main", f"f{i:02}", h, rng.choice([1, 1, 1, 2, 5])))
+    df = spark.createDataFrame(rows, "collection string, function_id string, hash string, tf long")
+    want = plain_pairs(rows, algo, least)
+    got = {(r.id1, r.id2): r.score for r in similarity.scored_pairs(df, algo, least).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-4 for k in want)
+    targets = df.where("function_id < 'f10'").select("collection", "function_id").distinct()
+    some = {(r.id1, r.id2) for r in similarity.scored_pairs(df, algo, least, targets).collect()}
+    assert some == {k for k in want if min(k) < "f10"}
+
+
+def test_shared_numbers_fall_back_to_names(spark, monkeypatch):
+    monkeypatch.setattr(similarity.F, "xxhash64", lambda *c: F.lit(1).cast("long"))
+    rows = [("main", f"f{i}", f"h{j}", 1) for i in range(4) for j in range(i + 1)]
+    df = spark.createDataFrame(rows, "collection string, function_id string, hash string, tf long")
+    got = {(r.id1, r.id2): r.score for r in similarity.scored_pairs(df).collect()}
+    assert got.keys() == plain_pairs(rows, "unweighted_cosine", 0.0).keys()
