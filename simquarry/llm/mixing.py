@@ -42,7 +42,10 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, cap:
     numbered by their place in a range of sorted ones, so there may be any number of them."""
     spark = sources.sparkSession
     order = [F.col("source").isNull(), F.col("source")]
-    spread = materialise(sources.repartitionByRange(partitions(spark), *order).withColumn("place", F.spark_partition_id()), "mix-sources")
+    sources = materialise(sources, "mix-sources")
+    # A range for each 10,000 sources, so that few sources make one small file.
+    ranges = max(1, min(partitions(spark), sources.count() // 10_000))
+    spread = materialise(sources.repartitionByRange(ranges, *order).withColumn("place", F.spark_partition_id()), "mix-ranges")
     counts = sorted((r["place"], r["count"]) for r in spread.groupBy("place").count().collect())  # one row a range
     starts, before = [], 0
     for place, n in counts:
@@ -53,7 +56,7 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, cap:
     number = F.col("before") + inside - 1
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(number, F.lit(len(weights))) + 1).cast("int"))
     # `starts` has a row for each shuffle partition.
-    table = materialise(spread.join(F.broadcast(starts), "place").withColumn("weight", weight), "mix-weights")
+    table = spread.join(F.broadcast(starts), "place").withColumn("weight", weight)
     whole = table.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
     total, level, stopped = share * (whole["size"] or 0), 0.0, -1
     while whole["weight"]:
