@@ -16,8 +16,11 @@ ALGOS = ("unweighted_cosine", "jaccard")
 TOP_K, MIN_SCORE = 1000, 0.3
 #: Functions of a feature from which on its pairs are dealt to several tasks.
 HOT = 20_000
-#: Least score from which on vectors are cut into head and tail; below it tails are all but empty.
-TAIL_FROM = 0.25
+#: Vectors are cut into head and tail for scores from TAIL_FROM on (below it, tails are all but
+#: empty) where the features make CUT_FROM pairs or more for each row of the vectors.
+TAIL_FROM, CUT_FROM = 0.25, 20
+#: What either score is worked out from.
+_NEEDS = {"unweighted_cosine": ("dot", "n2"), "jaccard": ("least_sum", "total")}
 
 
 def score(algo: str, dot: Column, least: Column, n2_a: Column, n2_b: Column, total_a: Column, total_b: Column) -> Column:
@@ -32,7 +35,7 @@ def score(algo: str, dot: Column, least: Column, n2_a: Column, n2_b: Column, tot
 def _sides(vec: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, names): the vectors as a table (collection, hash, fn, tf, n2, total), in which a
     number stands for each function and every feature carries its function's norms, and the
-    functions' names (fn, collection, function_id).
+    functions' names (fn, collection, function_id, n2, total).
 
     The norms come from a window over a function's rows, which spills, so no row holds a whole
     vector. The numbers are hashes; that no two functions share one is checked, and names stand
@@ -40,7 +43,7 @@ def _sides(vec: DataFrame) -> tuple[DataFrame, DataFrame]:
     w = Window.partitionBy("collection", "function_id")
     wide = vec.select("collection", "function_id", "hash", "tf", F.sum(F.col("tf") * F.col("tf")).over(w).alias("n2"), F.sum("tf").over(w).alias("total"), F.xxhash64("collection", "function_id").alias("fn"))
     wide = written(wide, "pair-sides")
-    names = written(wide.select("fn", "collection", "function_id").distinct(), "pair-names")
+    names = written(wide.select("fn", "collection", "function_id", "n2", "total").distinct(), "pair-names")
     if not names.groupBy("fn").count().where("count > 1").isEmpty():
         name = F.concat_ws("\x00", "collection", "function_id")
         wide, names = wide.withColumn("fn", name), names.withColumn("fn", name)
@@ -85,17 +88,24 @@ def _numbered_pairs(vec: DataFrame, targets: DataFrame | None, max_df: int | Non
     """(pairs, names): raw_pairs by function number (a, b), each pair once. With `algo` and `least`,
     pairs that can't reach that score may be left out; the others' sums are exact."""
     side, names = _sides(vec)
-    df = side.groupBy("collection", "hash").agg(F.count("*").alias("df"))
-    if max_df is not None:
-        side = side.join(df.where(F.col("df") > max_df), ["collection", "hash"], "left_anti")
-        df = df.where(F.col("df") <= max_df)
-    # At most a row for each HOT rows of the vectors; Spark broadcasts it where it is small.
-    hot = written(df.where(F.col("df") > HOT).select("collection", "hash", F.ceil(F.col("df") / HOT).cast("long").alias("blocks")), "pair-hot")
-    hot = None if hot.isEmpty() else hot
-    cut = algo in ALGOS and least >= TAIL_FROM
-    if cut:
-        side = _cut(side, df, algo, least)
-    own_cols = ["fn", "tf", "n2", "total", *(["tail", "rest"] if cut else [])]
+    hot, cut = None, False
+    # A collection of HOT functions at most has no feature of more; only larger ones are measured.
+    if max_df is not None or names.count() > HOT:
+        df = side.groupBy("collection", "hash").agg(F.count("*").alias("df"))
+        if max_df is not None:
+            side = side.join(df.where(F.col("df") > max_df), ["collection", "hash"], "left_anti")
+            df = df.where(F.col("df") <= max_df)
+        df = written(df, "pair-df")
+        load = df.agg(F.max("df").alias("most"), F.sum(F.col("df") * (F.col("df") - 1) / 2).alias("pairs"), F.sum("df").alias("rows")).first()
+        if (load["most"] or 0) > HOT:
+            # At most a row for each HOT rows of the vectors; Spark broadcasts it where it is small.
+            hot = df.where(F.col("df") > HOT).select("collection", "hash", F.ceil(F.col("df") / HOT).cast("long").alias("blocks"))
+        cut = algo in ALGOS and least >= TAIL_FROM and (load["pairs"] or 0) >= CUT_FROM * (load["rows"] or 1)
+        if cut:
+            side = _cut(side, df, algo, least)
+    needed = _NEEDS.get(algo, ("dot", "least_sum", "n2", "total"))
+    kept = [c for c in ("n2", "total") if c in needed or cut] + (["tail", "rest"] if cut else [])
+    own_cols = ["fn", "tf", *kept]
     cols = lambda k: ["collection", "hash", "i", "j", *(F.col(c).alias(f"{c}_{k}") for c in own_cols)]
     on = ["collection", "hash", "i", "j"] if hot is not None else ["collection", "hash"]
     if targets is None:
@@ -111,8 +121,8 @@ def _numbered_pairs(vec: DataFrame, targets: DataFrame | None, max_df: int | Non
         both = both.where("not (tail_a and tail_b)")
         if algo == ALGOS[1]:  # totals that differ too much can't overlap enough
             both = both.where(F.least("total_a", "total_b") >= least * F.greatest("total_a", "total_b") * (1 - 1e-12))
-    sums = [F.sum(F.col("tf_a") * F.col("tf_b")).alias("dot"), F.sum(F.least("tf_a", "tf_b")).alias("least_sum")]
-    norms_ = [F.max(f"{c}_{k}").alias(f"{c}_{k}") for c in ("n2", "total", *(["rest"] if cut else [])) for k in ("a", "b")]
+    sums = [x for name, x in (("dot", F.sum(F.col("tf_a") * F.col("tf_b"))), ("least_sum", F.sum(F.least("tf_a", "tf_b")))) for x in [x.alias(name)] if name in needed]
+    norms_ = [F.max(f"{c}_{k}").alias(f"{c}_{k}") for c in kept if c != "tail" for k in ("a", "b")]
     pairs = both.groupBy("fn_a", "fn_b").agg(*sums, *norms_)
     if not cut:
         return pairs, names
@@ -120,21 +130,23 @@ def _numbered_pairs(vec: DataFrame, targets: DataFrame | None, max_df: int | Non
     pairs = written(pairs.where(_may_reach(algo, least)).drop("rest_a", "rest_b"), "pair-candidates")
     tails = side.where("tail")
     tail = lambda k: tails.select(F.col("fn").alias(f"fn_{k}"), "hash", F.col("tf").alias(f"tf_{k}"))
-    more = pairs.select("fn_a", "fn_b").join(tail("a"), "fn_a").join(tail("b"), ["fn_b", "hash"]).groupBy("fn_a", "fn_b").agg(*sums).withColumnsRenamed({"dot": "more_dot", "least_sum": "more_least"})
-    out = pairs.join(more, ["fn_a", "fn_b"], "left")
-    out = out.withColumns({"dot": F.col("dot") + F.coalesce("more_dot", F.lit(0)), "least_sum": F.col("least_sum") + F.coalesce("more_least", F.lit(0))})
-    return out.drop("more_dot", "more_least"), names
+    total = needed[0]  # a cut has an algorithm, which needs one sum
+    more = pairs.select("fn_a", "fn_b").join(tail("a"), "fn_a").join(tail("b"), ["fn_b", "hash"]).groupBy("fn_a", "fn_b").agg(*sums).withColumnRenamed(total, "more")
+    out = pairs.join(more, ["fn_a", "fn_b"], "left").withColumn(total, F.col(total) + F.coalesce("more", F.lit(0)))
+    return out.drop("more"), names
 
 
 def _named(pairs: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs with their functions' names: id1 is the greater id, whose norms are those of a."""
-    one = names.select(F.col("fn").alias("fn_a"), "collection", F.col("function_id").alias("x"))
-    two = names.select(F.col("fn").alias("fn_b"), F.col("function_id").alias("y"))
-    out = pairs.join(one, "fn_a").join(two, "fn_b")
-    keep = F.col("x") > F.col("y")
-    pick = [F.when(keep, F.col(f"{c}_{k}")).otherwise(F.col(f"{c}_{o}")).alias(f"{c}_{k}") for c in ("n2", "total") for k, o in (("a", "b"), ("b", "a"))]
-    rest = [c for c in pairs.columns if c not in ("fn_a", "fn_b", "n2_a", "n2_b", "total_a", "total_b")]
-    return out.select("collection", F.greatest("x", "y").alias("id1"), F.least("x", "y").alias("id2"), *pick, *rest)
+    """Pairs with their functions' names and norms: id1 is the greater id, whose norms are those
+    of a."""
+    end = lambda k, *more: names.select(F.col("fn").alias(f"fn_{k}"), *more, F.struct("function_id", "n2", "total").alias(k))
+    rest = [c for c in pairs.columns if c in ("dot", "least_sum", "raw")]
+    out = pairs.select("fn_a", "fn_b", *rest).join(end("a", "collection"), "fn_a").join(end("b"), "fn_b")
+    first = F.col("a.function_id") > F.col("b.function_id")
+    one, two = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
+    out = out.select("collection", one.alias("a"), two.alias("b"), *rest)
+    norms_ = [F.col(f"{k}.{c}").alias(f"{c}_{k}") for c in ("n2", "total") for k in ("a", "b")]
+    return out.select("collection", F.col("a.function_id").alias("id1"), F.col("b.function_id").alias("id2"), *norms_, *rest)
 
 
 def raw_pairs(vec: DataFrame, targets: DataFrame | None = None, max_df: int | None = None) -> DataFrame:
@@ -151,7 +163,8 @@ def raw_pairs(vec: DataFrame, targets: DataFrame | None = None, max_df: int | No
 
 def _above(pairs: DataFrame, algo: str, min_score: float) -> DataFrame:
     """Pairs with `raw`, the unrounded score, where it is positive and at least `min_score`."""
-    value = score(algo, F.col("dot"), F.col("least_sum"), F.col("n2_a"), F.col("n2_b"), F.col("total_a"), F.col("total_b"))
+    col = lambda c: F.col(c) if c in pairs.columns else F.lit(None)  # noqa: E731  (not needed by the algorithm)
+    value = score(algo, *(col(c) for c in ("dot", "least_sum", "n2_a", "n2_b", "total_a", "total_b")))
     return pairs.withColumn("raw", value).where((F.col("raw") >= min_score) & (F.col("raw") > 0)).drop("dot", "least_sum")
 
 

@@ -123,6 +123,7 @@ def plain_pairs(rows, algo, least):
 def test_cut_vectors_and_hot_features_lose_no_pair(spark, monkeypatch, algo, least):
     rng = random.Random(int(least * 10))
     monkeypatch.setattr(similarity, "HOT", 7)
+    monkeypatch.setattr(similarity, "CUT_FROM", 0)
     rows = []
     for i in range(40):
         for h in {*rng.sample(["hot1", "hot2", "hot3"], 2), *(f"h{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(1, 25)))}:
