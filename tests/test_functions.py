@@ -143,3 +143,20 @@ def test_shared_numbers_fall_back_to_names(spark, monkeypatch):
     df = spark.createDataFrame(rows, "collection string, function_id string, hash string, tf long")
     got = {(r.id1, r.id2): r.score for r in similarity.scored_pairs(df).collect()}
     assert got.keys() == plain_pairs(rows, "unweighted_cosine", 0.0).keys()
+
+
+def test_values_without_sql(spark):
+    import time
+
+    r = one(spark, now=values.now_ms(), id=values.new_id(), day=values.shown_time(F.lit(86_400_000).cast("long")), short=values.shortened(F.lit("abcdef"), 3))
+    assert abs(r.now - time.time() * 1000) < 600_000 and len(r.id) == 36 and r.day == "1970-01-02 00:00:00" and r.short == "abc"
+    bad = one(spark, year=values.millis_text(F.lit("2026")), month=values.millis_text(F.lit("2026-05")), day=values.millis_text(F.lit("2026-05-01")), full=values.millis_text(F.lit("2026-03-26T11:48:07.851317Z")))
+    assert (bad.year, bad.month) == (0, 0) and bad.day == 1_777_593_600_000 and bad.full == 1_774_525_687_851
+
+
+def test_pipeline_stages(spark):
+    rows = [("a", "p", 1, "completed"), ("b", "p", 2, "pending"), ("c", "p", 3, "pending"), ("d", "q", 1, "failed"), ("e", "q", 2, "pending"), ("f", "r", 1, "running"), ("g", "r", 2, "pending")]
+    tasks = spark.createDataFrame(rows, "id string, parent_id string, stage long, status string")
+    assert [r.id for r in jobs.next_stages(tasks).collect()] == ["b"]
+    results = spark.createDataFrame([("f", True), ("f", False), ("b", True)], "id string, ok boolean")
+    assert {r.id: r.status for r in jobs.finished(tasks, results).collect()} == {**{r[0]: r[3] for r in rows}, "f": "failed"}

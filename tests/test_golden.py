@@ -159,7 +159,9 @@ def test_opcodes_follow_difflib():
         assert all(a[r[2] - 1] == b[r[3] - 1] for r in rows if r[0] == "equal")
 
 
-def test_stream_equals_batch(spark, corpus, tmp_path):
+@pytest.mark.parametrize("compact", [16, 2])
+def test_stream_equals_batch(spark, corpus, tmp_path, monkeypatch, compact):
+    monkeypatch.setattr(pipeline, "COMPACT", compact)
     root = f"file://{tmp_path}/state"
     for _ in range(2):  # the second run finds nothing new
         pipeline.run_stream(spark, corpus["folder"], root, f"{tmp_path}/cp", files_per_batch=1, min_score=0.0)
@@ -167,3 +169,5 @@ def test_stream_equals_batch(spark, corpus, tmp_path):
     full = similarity.build_pairs(corpus["vec"], corpus["funcs"], min_score=0.0).select("sid", "score")
     assert got.exceptAll(full).count() == 0 and got.count() == full.count()
     assert pipeline.read_state(spark, root, "built").count() == 8
+    assert (tmp_path / "state" / "sims-snapshots").exists() == (compact == 2)
+    assert pipeline.read_state(spark, root, "vec_tf", 1).count() < pipeline.read_state(spark, root, "vec_tf").count() == corpus["vec"].count()
