@@ -83,8 +83,6 @@ def test_equals_brute_force(spark, monkeypatch, cut):
     rng = random.Random(3)
     if cut:
         monkeypatch.setattr(de, "INDEX_BYTES", 700)
-        monkeypatch.setattr(de, "HELD", 2)
-        monkeypatch.setattr(de, "STEP", 3)
     vocab = [f"v{i}" for i in range(60)]
     items = [(i, " ".join(rng.choices(vocab, k=rng.choice([5, 30, 60, 90, 150]))) + "? " + " ".join(rng.choices(vocab, k=4)) + ".") for i in range(24)]
     noise = lambda n: " ".join(rng.choices(vocab, k=n))
@@ -133,6 +131,20 @@ def test_edge_cases(spark):
     assert de.find_leaks(df.limit(0), bench).count() == 0 and de.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_steps_change_nothing(monkeypatch):
+    rng = random.Random(7)
+    texts = pa.array([" ".join(rng.choices([f"v{i}" for i in range(70)], k=rng.choice([0, 3, 40, 900]))) for _ in range(30)])
+    _, h, row, _, _ = de.hashed_words(texts)
+    items = [(i, "x", Counter(rng.sample(sorted(set(h.tolist())), 9))) for i in range(20)]
+    df = Counter(w for _, _, c in items for w in c)
+    index = de.Index(items, df, 20, 9.0, 32)
+    whole = list(index.passages(h, row, 30))
+    monkeypatch.setattr(de, "STEP", 3)
+    assert list(index.passages(h, row, 30)) == whole and len(whole) > 20
+    monkeypatch.setattr(de, "DENSE", 10)
+    assert list(index.passages(h, row, 30)) == whole
+
+
 def test_memory_of_one_long_text():
     text = pa.array([" ".join(f"w{i % 9999}" for i in range(400_000))])
     raw, h, row, _, _ = de.hashed_words(text)
