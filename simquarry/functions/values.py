@@ -90,3 +90,8 @@ def map_min_sum(a: Column, b: Column) -> Column:
 def as_array(value: Column, item: str = "int") -> Column:
     """A list or a scalar, given as JSON text, as an array."""
     return F.when(F.startswith(F.ltrim(value), F.lit("[")), F.from_json(value, f"array<{item}>")).when(value.isNotNull(), F.array(value.try_cast(item)))
+
+
+def line_text(tokens: Column, line: Column) -> Column:
+    """The text of one line: its tokens (structs with line and t) of a source's list, in order."""
+    return F.array_join(F.transform(F.filter(tokens, lambda t: t["line"] == line), lambda t: t["t"]), "")

@@ -71,3 +71,9 @@ def global_batches(files_: DataFrame) -> DataFrame:
 
 def collections(files_: DataFrame) -> DataFrame:
     return files_.groupBy("collection").agg(F.count("*").alias("total_files"), F.sum("n_functions").alias("total_functions"), F.max("entry_date").alias("last_updated"))
+
+
+def collection_batches(files_: DataFrame, collection: str) -> DataFrame:
+    """Of all registered batches, those that a collection has, with their totals there."""
+    own = batches(files_.where(F.col("collection") == collection))
+    return own.join(global_batches(files_).select("batch_uuid"), "batch_uuid", "left_semi")

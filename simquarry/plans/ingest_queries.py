@@ -192,6 +192,12 @@ def line_first_addresses(s, d):
     return align.line_addresses(_funcs(s, d)).select("function_id", "line", "address")
 
 
+@query(f"WITH {ITEMS} SELECT 'idx:main:func:o' || o_orderkey || ':' || lower(hex(o_orderkey)) AS function_id, coalesce((SELECT string_agg(text, '' ORDER BY k) FROM it WHERE o = o_orderkey AND line = 2), '') AS third_line FROM orders")
+def third_lines(s, d):
+    """The third line's text from each function's nested tokens, without unnesting them."""
+    return _funcs(s, d).select("function_id", values.line_text(F.col("source.c_tokens"), F.lit(2)).alias("third_line"))
+
+
 _EDITED = """ln AS (SELECT function_id, k, count(*) OVER (PARTITION BY function_id) AS n FROM it)"""
 
 
@@ -317,6 +323,27 @@ def collection_totals(s, d):
     return ingest.collections(_batch_files(s, d))
 
 
+_SEGMENTS = "r_name AS collection, c_mktsegment AS batch_uuid, c_nationkey AS file_md5 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+
+
+@query(f"SELECT batch_uuid, collection || ':batch:' || batch_uuid AS batch_id, CAST(count(DISTINCT file_md5) AS BIGINT) AS total_files, CAST(count(*) AS BIGINT) AS total_functions FROM (SELECT {_SEGMENTS}) WHERE collection = 'ASIA' GROUP BY batch_uuid, collection")
+def collection_batches(s, d):
+    """Regions as collections, market segments as batches, nations as files."""
+    f = src.customer_functions(s, d).join(src.table(s, d, "region"), F.col("batch_uuid") == F.col("r_regionkey").cast("string"))
+    files = f.groupBy(F.col("r_name").alias("collection"), F.col("language_id").alias("batch_uuid"), "file_md5").agg(F.count("*").alias("n_functions"), F.min("c_custkey").alias("entry_date")).withColumn("batch_name", F.col("batch_uuid"))
+    return ingest.collection_batches(files, "ASIA").select("batch_uuid", "batch_id", "total_files", "total_functions")
+
+
+@query(f"""WITH {FN}, fl AS (SELECT DISTINCT file_md5, batch_uuid FROM fn), tg AS (SELECT unnest(['debt', 'Rich', 'region 1', 'machinery', 'unused']) AS tag),
+  us AS (SELECT lower(tag) AS low FROM fn UNION ALL SELECT lower(user_tag) FROM fn WHERE user_tag IS NOT NULL UNION ALL SELECT 'region ' || batch_uuid FROM fl) SELECT tag, CAST(count(low) AS BIGINT) AS count FROM tg LEFT JOIN us ON lower(tag) = low GROUP BY tag""")
+def tag_counts_by_level(s, d):
+    """Uses on functions and on files together; a file is tagged with its region."""
+    f = src.customer_functions(s, d)
+    files = src.files_of(f).withColumn("tags", F.array(F.concat(F.lit("Region "), F.col("batch_uuid"))))
+    meta = s.createDataFrame([("main", t, None, 0) for t in ("debt", "Rich", "region 1", "machinery", "unused")], "collection string, tag string, color string, priority long")
+    return tags.tag_counts(meta, {"func": f, "file": files}).select("tag", "count")
+
+
 _PALETTE = "['#FF5555', '#50FA7B', '#F1FA8C', '#BD93F9', '#FF79C6', '#8BE9FD', '#FFB86C', '#A6E22E', '#66D9EF']"
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from simquarry.functions import ids, values
-from simquarry.operators import ingest, jobs, similarity, state, stats
+from simquarry.operators import ingest, jobs, search, similarity, state, stats
 
 
 def one(spark, **cols):
@@ -160,3 +160,22 @@ def test_pipeline_stages(spark):
     assert [r.id for r in jobs.next_stages(tasks).collect()] == ["b"]
     results = spark.createDataFrame([("f", True), ("f", False), ("b", True)], "id string, ok boolean")
     assert {r.id: r.status for r in jobs.finished(tasks, results).collect()} == {**{r[0]: r[3] for r in rows}, "f": "failed"}
+
+
+def test_enrich_without_metadata(spark):
+    """A pair whose functions or pair document are gone gets defaults."""
+    pairs = spark.createDataFrame([("s1", "main", "idx:main:func:m:aa", "idx:main:func:m:bb", 0.5)], "sid string, collection string, id1 string, id2 string, score double")
+    funcs = spark.createDataFrame([("main", "idx:main:func:m:aa", "one", "f.bin", ["t"])], "collection string, function_id string, function_name string, file_name string, tags array<string>")
+    r = search.enrich(pairs, funcs).first()
+    assert (r.name1, r.name2) == ("one", "bb") and r.meta1.tags == ["t"] and r.meta2.tags == [] and r.meta2.file_name == r.meta1.language_id == "N/A"
+    assert search.enrich(pairs.limit(0), funcs).count() == 0
+
+
+def test_search_totals(spark):
+    sims = spark.createDataFrame([("main", "unweighted_cosine", f"s{i}", i / 10) for i in range(8)], "collection string, algo string, sid string, score double")
+    r = search.pool_status(sims, "main", min_score=0.2, pool_limit=6).first()
+    assert (r.pool, r.candidates, r.pool_truncated) == (6, 6, True)
+    r = search.pool_status(sims, "main", min_score=0.2, pool_limit=10**9).first()
+    assert (r.pool, r.candidates, r.pool_truncated) == (1_000_000, 6, False)
+    page = search.with_total(search.page(sims, [sims.sid], 6, 5), sims).collect()
+    assert [(x.sid, x.total) for x in page] == [("s6", 8), ("s7", 8)]
