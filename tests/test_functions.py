@@ -179,3 +179,15 @@ def test_search_totals(spark):
     assert (r.pool, r.candidates, r.pool_truncated) == (1_000_000, 6, False)
     page = search.with_total(search.page(sims, [sims.sid], 6, 5), sims).collect()
     assert [(x.sid, x.total) for x in page] == [("s6", 8), ("s7", 8)]
+
+
+def test_scratch_folders(spark):
+    from types import SimpleNamespace
+
+    from simquarry.sources import scratch
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        scratch.scratch(cluster, "x")
+    assert scratch.scratch(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert scratch.qualified(spark, "/tmp/x").startswith("file:///tmp/x") and scratch.qualified(spark, "s3a://b/x") == "s3a://b/x"
