@@ -3,7 +3,6 @@ vectorised word hashing over Arrow string buffers."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,40 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# ---------------------------------------------------------------- scratch
-
-
-def qualified(spark: SparkSession, folder: str) -> str:
-    """The folder's URI with the scheme that Spark gives it, so that Arrow means the same place."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if "://" in folder:
-        return folder
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().replace("file:/", "file:///", 1)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session
-    that leaves it unset (tests) gets a fresh temporary folder, which is then set on the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="simquarry-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return qualified(spark, found).rstrip("/")
+from ..sources.scratch import qualified as qualified
+from ..sources.scratch import scratch as scratch_path
+from ..sources.scratch import written as materialise  # noqa: F401  (for the operators)
 
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it back: the lineage is cut, and
-    a lost executor costs a reread instead of a recomputation."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+# ---------------------------------------------------------------- scratch
 
 
 class Scratch:
