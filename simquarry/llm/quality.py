@@ -16,6 +16,7 @@ in the whole table, whatever its size. Scoring reads every text whole.
 
 from __future__ import annotations
 
+import copy
 import zlib
 
 import numpy as np
@@ -30,6 +31,8 @@ LABELLED = 6_000
 #: Rounds of exchange, rows that a view hands over in each, and how sure it must be of them.
 ROUNDS, HANDED, CONFIDENT = 3, 300, 0.97
 KEEP_FROM = 0.5
+#: Rows whose features are held at a time, at most.
+ROWS = 1024
 _KIND = np.full(256, 4, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 mark, 4 beyond ASCII, 5 white space
 _KIND[:128] = 3
 _KIND[97:123], _KIND[65:91], _KIND[48:58] = 0, 1, 2
@@ -170,12 +173,17 @@ class CoTrained:
         self.ys[view] = np.concatenate((self.ys[view], np.full(len(x), float(good))))
         self.handed += len(x)
 
+    def bare(self) -> CoTrained:
+        """The model without its training rows: all that judging a document needs."""
+        out = copy.copy(self)
+        out.xs = out.ys = out.held = None
+        return out
+
     def finish(self) -> CoTrained:
         """Combines the calibrated views; the training rows are let go."""
         if self.platt:
             self.mix = Logistic(np.column_stack([self.odds(k, x) for k, x in enumerate(self.held)]), self.truth, 1.0)
-        self.xs = self.ys = self.held = None
-        return self
+        return self.bare()
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The combined probability of good quality, and each view's."""
@@ -192,9 +200,11 @@ def _views(columns: list[pa.Array]):
     """(first row, last row, text features, meta features, words) of parts of a batch."""
     raw, offsets = text_buffer(columns[0])
     lang, source, n_chars = (c.to_pylist() for c in columns[1:])
-    for a, b in chunks(offsets):
-        text, count = text_view(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        yield a, b, text, meta_view(lang[a:b], source[a:b], n_chars[a:b]), count
+    for low, high in chunks(offsets):
+        for a in range(low, high, ROWS):  # short texts: many rows of features
+            b = min(a + ROWS, high)
+            text, count = text_view(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            yield a, b, text, meta_view(lang[a:b], source[a:b], n_chars[a:b]), count
 
 
 def _features(batches):
@@ -222,7 +232,7 @@ def _rows_of(docs: DataFrame, ids: DataFrame) -> dict[int, tuple[np.ndarray, np.
 def _confident(docs: DataFrame, model: CoTrained, seed: int) -> DataFrame:
     """(view, good, rank, id): every document with an id that a view is sure of, and a hash of
     the id."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model.bare())
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.lit(seed), "doc_id").alias("rank"), *_columns(docs))
 
     def run(batches):
