@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["collection", "function_id"]
+#: Rows unnested from the stored functions are many times what Spark takes them for (their file's
+#: size), so joins of whole token, feature or vector tables are told to sort, never to broadcast.
+WHOLE = "merge"
 DIFF = "pair_id string, row_idx long, tag string, chunk_id long, l_line long, r_line long"
 
 
@@ -67,7 +70,7 @@ def common_hashes(vec: DataFrame, wanted: DataFrame) -> DataFrame:
     """The features that both functions of each wanted pair have, sorted."""
     v = lambda i: vec.select(F.col("collection").alias(f"collection{i}"), F.col("function_id").alias(f"id{i}"), "hash")
     keys = ["collection1", "id1", "collection2", "id2"]
-    both = wanted.select(*keys).join(v(1), ["collection1", "id1"]).join(v(2), ["collection2", "id2", "hash"])
+    both = wanted.select(*keys).join(v(1).hint(WHOLE), ["collection1", "id1"]).join(v(2).hint(WHOLE), ["collection2", "id2", "hash"])
     return both.groupBy(*keys).agg(F.array_sort(F.collect_set("hash")).alias("hashes"))
 
 
@@ -75,10 +78,10 @@ def token_classes(tokens: DataFrame, token_hashes: DataFrame, other: DataFrame |
     """Tokens with diff_class: "match" where a feature is also in `other` (collection,
     function_id, hashes in common), "unique" where some feature isn't, else ""; without `other`,
     "diff-unique" for every token with a feature."""
-    rows = tokens.join(token_hashes, [*KEY, "idx"], "left").withColumn("hashes", F.coalesce("hashes", F.array().cast("array<string>")))
+    rows = tokens.join(token_hashes.hint(WHOLE), [*KEY, "idx"], "left").withColumn("hashes", F.coalesce("hashes", F.array().cast("array<string>")))
     if other is None:
         return rows.withColumn("diff_class", F.when(F.size("hashes") > 0, "diff-unique").otherwise(""))
-    rows = rows.join(other.withColumnRenamed("hashes", "common"), KEY, "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
+    rows = rows.join(other.withColumnRenamed("hashes", "common").hint(WHOLE), KEY, "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
     match = F.arrays_overlap("hashes", "common")
     return rows.withColumn("diff_class", F.when(match, "match").when(F.size(F.array_except("hashes", "common")) > 0, "unique").otherwise("")).drop("common")
 

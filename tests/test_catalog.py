@@ -36,3 +36,9 @@ def test_display_of_large_keys(spark, tmp_path):
     spark.sql("SELECT k AS o_orderkey, 7L AS o_custkey, 'O' AS o_orderstatus, DATE'1995-01-02' AS o_orderdate FROM VALUES (1L), (131071L), (131072L), (900001L) AS t(k)").coalesce(1).write.parquet(str(tmp_path / "written"))
     next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "orders.parquet")
     assert spark_rows(catalog.QUERIES["display_expressions"](spark, str(tmp_path))) == sql_rows(catalog.SQL["display_expressions"], str(tmp_path))
+
+
+@pytest.mark.parametrize("name", ["token_classes"])
+def test_unnested_tables_are_not_broadcast(spark, data, name):
+    """Their size is known only from the nested file's."""
+    assert "Broadcast" not in catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
