@@ -132,7 +132,7 @@ def token_tips(occurrences: DataFrame, vec: DataFrame, common: DataFrame) -> Dat
     type, seq, addr, line_idx, tf ("N/A" where the vector lacks it) and a colour that tells whether
     `common` (function, hashes) has it."""
     rows = occurrences.select(*KEY, "pos", "hash", "pcode_op", "pcode_op_full", "type", "seq", "addr", "line_idx", F.explode("addr_to_token_idx").alias("idx"))
-    rows = rows.join(vec.select(*KEY, "hash", "tf"), [*KEY, "hash"], "left").join(common.select(*KEY, F.col("hashes").alias("common")), KEY, "left")
+    rows = rows.join(vec.select(*KEY, "hash", "tf").hint(WHOLE), [*KEY, "hash"], "left").join(common.select(*KEY, F.col("hashes").alias("common")).hint(WHOLE), KEY, "left")
     colour = F.when(F.array_contains("common", F.col("hash")), COMMON).otherwise(OWN)
     tip = F.struct("pos", "hash", "pcode_op", "pcode_op_full", "type", "seq", "addr", "line_idx", F.coalesce(F.col("tf").cast("string"), F.lit("N/A")).alias("tf"), colour.alias("colour"))
     return rows.groupBy(*KEY, F.col("idx").cast("long").alias("idx")).agg(F.transform(F.array_sort(F.collect_list(tip)), lambda t: t.dropFields("pos")).alias("tips"))

@@ -38,7 +38,7 @@ def test_display_of_large_keys(spark, tmp_path):
     assert spark_rows(catalog.QUERIES["display_expressions"](spark, str(tmp_path))) == sql_rows(catalog.SQL["display_expressions"], str(tmp_path))
 
 
-@pytest.mark.parametrize("name", ["token_classes"])
+@pytest.mark.parametrize("name", ["token_classes", "token_tips"])
 def test_unnested_tables_are_not_broadcast(spark, data, name):
     """Their size is known only from the nested file's."""
     assert "Broadcast" not in catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
