@@ -46,7 +46,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, scratch_path, text_buffer, words
+from .common import chunks, materialise, own_text, scratch_path, text_buffer, words
 
 THRESHOLD = 0.6
 QUESTION, ANSWER, WHOLE = 0.6, 0.5, 0.75
@@ -397,12 +397,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without the rows whose text leaks a test item, in one pass and without a join."""
     paths = build_indexes(benchmark, threshold)
-    rows = docs.withColumn("__text", F.col("text").cast("string"))
+    at = own_text(docs)
+    rows = docs if at is not None else docs.withColumn("__text", F.col("text").cast("string"))
 
     def clean(batches):
         for batch in batches:
             keep = np.ones(len(batch), bool)
-            for r, _ in search_texts(paths, batch.column(batch.num_columns - 1)):
+            for r, _ in search_texts(paths, batch.column(batch.num_columns - 1 if at is None else at)):
                 keep[r] = False
             yield batch.filter(pa.array(keep))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, LOWER, chunks, materialise, mix64, text_buffer, words
+from .common import CHUNK, LOWER, chunks, materialise, mix64, own_text, text_buffer, words
 
 #: Labelled rows that the fit uses, about and at most.
 LABELLED = 6_000
@@ -318,13 +318,15 @@ def _scores(model: CoTrained | None, text: np.ndarray, meta: np.ndarray, count:
 def keep_good(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """The rows of `docs` that the classifier keeps, in one pass and without a join."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **bounds))
-    columns = docs.columns
-    wide = docs.select(*(F.col(f"`{c}`") for c in columns), *(c.alias(f"__{i}") for i, c in enumerate(_columns(docs))))
+    columns, at = docs.columns, own_text(docs)
+    extra = _columns(docs) if at is None else _columns(docs)[1:]
+    wide = docs.select(*(F.col(f"`{c}`") for c in columns), *(c.alias(f"__{i}") for i, c in enumerate(extra)))
 
     def run(batches):
         for batch in batches:
             keep = np.ones(len(batch), bool)
-            for a, b, text, meta, count in _views(batch.columns[-len(_READ) :]):
+            read = batch.columns[len(columns) :]
+            for a, b, text, meta, count in _views(read if at is None else [batch.column(at), *read]):
                 scores = _scores(model.value, text, meta, count)
                 if scores is not None:
                     keep[a:b] = scores[0] >= KEEP_FROM
