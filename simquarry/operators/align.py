@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import difflib
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ KEY = ["collection", "function_id"]
 #: size), so joins of whole token, feature or vector tables are told to sort, never to broadcast.
 WHOLE = "merge"
 DIFF = "pair_id string, row_idx long, tag string, chunk_id long, l_line long, r_line long"
+#: Rows of a diff that are held before they are sent.
+DIFF_ROWS = 50_000
 
 
 def token_features(occurrences: DataFrame) -> DataFrame:
@@ -45,25 +48,43 @@ def opcodes(left: list[str], right: list[str]) -> list[tuple]:
     return out
 
 
-def _diff(group: pd.DataFrame) -> pd.DataFrame:
-    sides = [group[group["side"] == s].sort_values("line")["identity"].tolist() for s in (0, 1)]
-    rows = opcodes(*sides)
-    out = pd.DataFrame(rows, columns=["tag", "chunk_id", "l_line", "r_line"])
-    out.insert(0, "row_idx", range(len(out)))
-    out.insert(0, "pair_id", group["pair_id"].iloc[0])
-    return out.astype({"l_line": "Int64", "r_line": "Int64"})
+def _diffs(batches):
+    """The diff rows of pairs (pair_id, left, right), whose sides are (line, identity) in order."""
+    for batch in batches:
+        pairs, sides = batch.column(0), []
+        for column in batch.columns[1:]:
+            lines = column.flatten().field("identity").to_pylist()
+            ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+            sides.append([lines[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
+        at, rows = [], []
+
+        def out():
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            arrays = [pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.string(), *[pa.int64()] * 3), strict=True)]
+            return pa.RecordBatch.from_arrays([pairs.take(pa.array(at, pa.int64())), *arrays], ["pair_id", "row_idx", "tag", "chunk_id", "l_line", "r_line"])
+
+        for i, (left, right) in enumerate(zip(*sides, strict=True)):
+            found = opcodes(left, right)
+            at += [i] * len(found)
+            rows += [(k, *row) for k, row in enumerate(found)]
+            if len(rows) >= DIFF_ROWS:
+                yield out()
+                at, rows = [], []
+        yield out()
 
 
 def aligned_diff(identities: DataFrame, wanted: DataFrame) -> DataFrame:
     """The diff rows of each wanted (collection1, id1, collection2, id2); a pair's two line lists
-    meet in one group. The matcher has no relational form, so this is the one grouped Python
-    step; a group is two functions' lines."""
+    meet in one row. The matcher has no relational form, so this is the one Python step; it
+    takes many pairs at a time, since most of them are small."""
     pid = F.concat_ws("|", "id1", "id2").alias("pair_id")
     sides = []
     for k, i in ((0, 1), (1, 2)):
         w = wanted.select(pid, F.col(f"collection{i}").alias("collection"), F.col(f"id{i}").alias("function_id"))
-        sides.append(w.join(identities, KEY).select("pair_id", F.lit(k).alias("side"), "line", "identity"))
-    return sides[0].unionByName(sides[1]).groupBy("pair_id").applyInPandas(_diff, DIFF)
+        sides.append(w.join(identities, KEY).select("pair_id", F.lit(k).alias("side"), F.struct("line", "identity").alias("at")))
+    own = lambda k: F.array_sort(F.collect_list(F.when(F.col("side") == k, F.col("at"))))
+    pairs = sides[0].unionByName(sides[1]).groupBy("pair_id").agg(own(0).alias("left"), own(1).alias("right"))
+    return pairs.mapInArrow(_diffs, DIFF)
 
 
 def common_hashes(vec: DataFrame, wanted: DataFrame) -> DataFrame:

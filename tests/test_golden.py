@@ -125,6 +125,20 @@ def test_status_and_tags(spark, corpus):
     assert gone.where("size(user_tags) > 0").count() == 0
 
 
+def test_diff_of_many_pairs_and_sides(spark):
+    """Many pairs share a batch, whatever lines they have; a side without lines is all insert or
+    delete, and no pair has a group of its own."""
+    lines = spark.createDataFrame([("main", f"f{n}", line, f"x{line % 3}") for n in range(40) for line in reversed(range(n % 7))], "collection string, function_id string, line long, identity string")
+    wanted = spark.createDataFrame([("main", f"f{n}", "main", f"f{n + 3}") for n in range(37)], "collection1 string, id1 string, collection2 string, id2 string")
+    found = align.aligned_diff(lines, wanted)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = {}
+    for r in found.orderBy("pair_id", "row_idx").collect():
+        rows.setdefault(r.pair_id, []).append((r.tag, r.chunk_id, r.l_line, r.r_line))
+    text = lambda n: [f"x{line % 3}" for line in range(n % 7)]
+    assert rows == {f"f{n}|f{n + 3}": align.opcodes(text(n), text(n + 3)) for n in range(37) if text(n) or text(n + 3)}
+
+
 def test_diff(spark, corpus):
     tokens, occ = ingest.tokens(corpus["funcs"]), ingest.feature_occurrences(corpus["funcs"])
     hashes = align.token_features(occ)
