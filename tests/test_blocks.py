@@ -98,3 +98,19 @@ def test_builds_share_their_blocks(spark, data):
     apart = [similarity.build_pairs(v, f, a, min_score=0.02) for a in similarity.ALGOS]
     both = similarity.build_algos(v, f, min_score=0.02)
     assert sorted(both.collect()) == sorted(apart[0].unionByName(apart[1]).collect()) != []
+
+
+@pytest.mark.parametrize("algo", similarity.ALGOS)
+def test_shared_features_alone_are_joined_as_one(spark, monkeypatch, algo):
+    """A copied passage's features become one row of each function, features of one function none;
+    scores are as before."""
+    rows = [("x", f"f{k}", h, t) for k in range(12) for h, t in [*((f"p{k // 3}-{i}", 1 + k % 2) for i in range(5)), *((f"own{k}-{i}", 1) for i in range(3)), ("all", 1), (f"m{k % 4}", 2)]]
+    vec = spark.createDataFrame([*rows, ("x", "f1", None, 1), ("x", "f2", None, 1)], SCHEMA)
+    whole = {(r.id1, r.id2): r.score for r in similarity.scored(similarity.raw_pairs(vec), algo, 0.3).collect()}
+    monkeypatch.setattr(similarity, "COUNTED", 40)
+    shared = similarity._shared(similarity._sides(vec)[0]).collect()
+    assert Counter(r.w for r in shared) == {5: 12, 1: 24}
+    for cut_from in (0, 10**9):
+        monkeypatch.setattr(similarity, "HOT", 5)
+        monkeypatch.setattr(similarity, "CUT_FROM", cut_from)
+        assert {(r.id1, r.id2): r.score for r in similarity.scored_pairs(vec, algo, 0.3).collect()} == whole != {}
