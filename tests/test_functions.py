@@ -136,6 +136,23 @@ def test_cut_vectors_and_hot_features_lose_no_pair(spark, monkeypatch, algo, lea
     assert some == {k for k in want if min(k) < "f10"}
 
 
+@pytest.mark.parametrize("algo,cut_from", [("unweighted_cosine", 0), ("unweighted_cosine", 10**9), ("jaccard", 10**9)])
+def test_pairs_by_parts_lose_no_pair(spark, monkeypatch, algo, cut_from):
+    """Matches of many functions are added up for some functions at a time."""
+    rng, seen, by_parts = random.Random(7), [], similarity._by_parts
+    for name, value in (("HOT", 7), ("CUT_FROM", cut_from), ("MATCHED", 150), ("PER_ROW", 0)):
+        monkeypatch.setattr(similarity, name, value)
+    monkeypatch.setattr(similarity, "_by_parts", lambda *a: seen.append((a[3], a[4] if len(a) > 4 else 1)) or by_parts(*a))
+    rows = [("main", f"f{i:02}", h, rng.choice([1, 1, 2, 5])) for i in range(24) for h in sorted({*rng.sample(["hot1", "hot2", "hot3"], 2), *(f"h{rng.randrange(30)}" for _ in range(6))})]
+    df = spark.createDataFrame(rows, "collection string, function_id string, hash string, tf long")
+    want = plain_pairs(rows, algo, 0.3)
+    got = {(r.id1, r.id2): r.score for r in similarity.scored_pairs(df, algo, 0.3).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-4 for k in want)
+    assert dict(seen)["pair-candidates"] > 1
+    targets = df.where("function_id < 'f10'").select("collection", "function_id").distinct()
+    assert {(r.id1, r.id2) for r in similarity.scored_pairs(df, algo, 0.3, targets).collect()} == {k for k in want if min(k) < "f10"}
+
+
 def test_shared_numbers_fall_back_to_names(spark, monkeypatch):
     monkeypatch.setattr(similarity.F, "xxhash64", lambda *c: F.lit(1).cast("long"))
     rows = [("main", f"f{i}", f"h{j}", 1) for i in range(4) for j in range(i + 1)]
